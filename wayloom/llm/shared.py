@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.sources.tables import shared_folder, ship
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    import wayloom
-
-    _shipped.add(sc.applicationId)
-    root = Path(wayloom.__file__).parent
-    at = tempfile.mkdtemp(prefix="wayloom-code-")  # on the driver, which serves it to the executors
-    atexit.register(shutil.rmtree, at, True)
-    with zipfile.ZipFile(f"{at}/wayloom.zip", "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"wayloom/{f.relative_to(root)}")
-    sc.addPyFile(f"{at}/wayloom.zip")
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master."""
-    sc = spark.sparkContext
-    if at := sc.getConf().get("spark.checkpoint.dir"):
-        return at.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if (at := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return at.get().rstrip("/")
-    at = "file://" + tempfile.mkdtemp(prefix="wayloom-checkpoint-")
-    sc.setCheckpointDir(at)
-    return at
+__all__ = ["carry", "crc_bucket", "restored", "ship", "store"]
 
 
 def store(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
