@@ -248,12 +248,12 @@ def parse_coords(spark, sf_dir):
     return a.where("c is not null").select("id", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
 
 
-@query(f"with {_ADDR} select id, number, suffix, rest from a4")
+@query(f"with {_ADDR} select id, coalesce(number, -1) as number, suffix, rest from a4")
 def parse_house_number(spark, sf_dir):
     """Leading house numbers of the first segment."""
     a = load(spark, sf_dir, "fx_addresses").withColumn("s", text.trim(F.col("address")))
     main = text.normalize(F.coalesce(F.try_element_at(text.segments(F.col("s")), F.lit(1)), F.col("s")))
-    return a.select("id", text.house_number(main).alias("h")).select("id", "h.*")
+    return a.select("id", text.house_number(main).alias("h")).select("id", F.coalesce("h.number", F.lit(-1)).alias("number"), "h.suffix", "h.rest")
 
 
 @query(f"with {_ADDR} select id, j, p, (select level from cl where cl.id = segn.id and cl.j = segn.j) as level, (select v from cl2 where cl2.id = segn.id and cl2.j = segn.j) as \"value\" from segn")
