@@ -83,13 +83,18 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a chunk of texts: starts, ends, 64-bit hashes, and the text each is in."""
 
-    def __init__(self, bodies: list[bytes], table: np.ndarray, sep: bytes = b"\n"):
+    def __init__(self, bodies: list[bytes], table: np.ndarray, sep: bytes = b"\n", kinds: np.ndarray | None = None):
+        """``kinds`` (a number for each byte) also cuts a word where a byte of kind 1 meets one of kind 2."""
         self.buf = np.frombuffer(sep.join(bodies) + sep, dtype=np.uint8)
         sizes = np.fromiter((len(b) + len(sep) for b in bodies), dtype=np.int64, count=len(bodies))
         self.text_end = np.cumsum(sizes)
         self.text_start = self.text_end - sizes
         inside = table[self.buf]
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        if kinds is not None:
+            k = kinds[self.buf]
+            more = np.flatnonzero(k[:-1] * k[1:] == 2) + 1
+            edge = np.sort(np.concatenate([edge, more, more]), kind="stable")
         self.start, self.end = edge[::2], edge[1::2]
         self.text = np.searchsorted(self.text_end, self.start, side="right")
         self.first = np.searchsorted(self.text, np.arange(len(bodies) + 1))
