@@ -32,8 +32,8 @@ from wayloom.llm.shared import ship, store
 from wayloom.llm.text import BLACK, Words, chunks, norm_bytes, signed
 
 DEPTH = 5
-#: Bytes of text in a block.
-BLOCK = 28 << 20
+#: Bytes of text in a block, and of a step inside it.
+BLOCK, STEP = 20 << 20, 1 << 20
 _END = b"\xff"
 PAIR, WORD = 0, 1
 
@@ -93,7 +93,7 @@ def _count(depth: int):
         for b in batches:
             texts, train = b.column(0).to_pylist(), b.column(1).to_pylist()
             for weight in (1, 0):  # unseen pairs are asked for too
-                for _, bodies in chunks(_body(t) for t, x in zip(texts, train, strict=True) if x == bool(weight)):
+                for _, bodies in chunks((_body(t) for t, x in zip(texts, train, strict=True) if x == bool(weight)), STEP):
                     pairs.add(Stream(bodies, depth).key, weight)
                     words.add(signed(Words(bodies, BLACK).hashes()), weight)
         yield from _emit(PAIR, *pairs.merged())
@@ -220,7 +220,7 @@ def _answers(depth: int, tops):
 def _asks(depth: int):
     def run(t: pa.Table) -> pa.Table:
         pairs, words = Sums(), Sums()
-        for _, bodies in chunks(_body(x) for x in t.column("text").to_pylist()):
+        for _, bodies in chunks((_body(x.as_py()) for x in t.column("text")), STEP):
             pairs.add(Stream(bodies, depth).key, 0)
             words.add(signed(Words(bodies, BLACK).hashes()), 0)
         p, w = pairs.merged()[0], words.merged()[0]
@@ -238,7 +238,7 @@ def _score(depth: int, n_train: int, n_tokens: int, n_distinct: int):
         pair, word = pd.Index(key[kind == PAIR]), pd.Index(key[kind == WORD])
         log_p, count = value[kind == PAIR] / np.log(10), value[kind == WORD]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for _, bodies in chunks(_body(x) for x in texts.column("text").to_pylist()):
+        for _, bodies in chunks((_body(x.as_py()) for x in texts.column("text")), STEP):
             s, w = Stream(bodies, depth), Words(bodies, BLACK)
             at, of = pair.get_indexer(s.key), word.get_indexer(signed(w.hashes()))
             if (at < 0).any() or (of < 0).any():
