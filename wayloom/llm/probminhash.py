@@ -8,11 +8,15 @@ of their weighted sets. Bands of registers give candidates, and the exact Jaccar
 the shingle sets decides.
 
 How it scales. Texts with equal shingle sets are one node. A bucket of up to ``SMALL`` nodes
-offers all its pairs, a larger one the pairs with a few leaders (the node that shares most
-buckets with others, and some at random), chosen by aggregation, so candidates grow in
-proportion to bucket sizes. While a large bucket still holds nodes of other classes, a node of
-a class that has not led yet becomes a leader, so no class of a bucket is passed over.
-Classes are connected components by alternating star contraction. Nothing is collected.
+offers all its pairs, a larger one the pairs with three leaders (the node that shares most
+buckets with others, and two at random), chosen by aggregation, so candidates grow in
+proportion to bucket sizes. The nodes of a larger bucket are also dealt into finer buckets, one
+for each further band, which offer their pairs by the same rule: similar texts share about
+eight bands, so they meet again where a passage common to many texts no longer fills the
+bucket. Pairs whose registers (8 bits of each) agree in less than ``AGREE`` of all cannot be
+at the threshold, but for one in 200,000 of those right at it, and are dropped before texts
+are compared. Classes are connected components by alternating star contraction. Nothing is
+collected.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased (A-Z); sets are keyed
 by 64-bit hashes. Defined results: a text of fewer than five words is one shingle of them all;
@@ -37,6 +41,8 @@ K, THRESHOLD = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 is missed with probability 7e-5.
 BANDS, ROWS = 24, 5
 SMALL = 8
+#: 4.5 standard deviations of 120 registers below the threshold.
+AGREE = 0.63
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -90,7 +96,7 @@ def _sign(k: int, bands: int, rows: int):
                     keys[:, j] = x
                 keys = keys[np.diff(first) > 0].reshape(-1)
                 offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
-                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys)))], names=["doc_id", "row_key", "node", "n", "bands"])
+                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array([r.tobytes() for r in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["doc_id", "row_key", "node", "n", "bands", "registers"])
 
     return run
 
@@ -106,27 +112,46 @@ def _node_texts(k: int):
     return run
 
 
+def _agreeing(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            keep = pa.array((x == y).mean(axis=1) >= least if b.num_rows else np.zeros(0, dtype=bool))
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, o = b.column(0), b.column(1)
-            keep = np.zeros(b.num_rows, dtype=bool)
             similarity = np.zeros(b.num_rows)
-            texts = [x for pair in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) for x in map(norm_bytes, pair)]
-            done = 0
-            for i in range(0, len(texts), 512):
-                h, _, _, first, _ = _sets(texts[i : i + 512], k)
-                for j in range(0, len(first) - 1, 2):
+            texts = (x for pair in zip(b.column(2), b.column(3), strict=True) for x in (norm_bytes(t.as_py()) for t in pair))
+            for at, bodies in _even(texts):
+                h, _, _, first, _ = _sets(bodies, k)
+                for j in range(0, len(bodies), 2):
                     x, y = h[first[j] : first[j + 1]], h[first[j + 1] : first[j + 2]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    similarity[done] = both / max(1, len(x) + len(y) - both)
-                    done += 1
-            keep = similarity >= threshold
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (a, o, pa.array(similarity))], names=["a", "b", "similarity"])
+                    similarity[(at + j) // 2] = both / max(1, len(x) + len(y) - both)
+            keep = pa.array(similarity >= threshold)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0), b.column(1), pa.array(similarity))], names=["a", "b", "similarity"])
 
     return run
 
 
+def _even(texts: Iterator[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of whole pairs of about ``limit`` bytes, with the first text's index."""
+    run, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        if i % 2 == 0 and size > limit:
+            yield at, run
+            run, size, at = [], 0, i
+        run.append(t)
+        size += len(t)
+    if run:
+        yield at, run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -156,44 +181,40 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, class_id, class_size, n_links (other texts it was found similar to), row_key."""
     ship(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>")
+    signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>, registers binary")
     signed_ = store(signed_, "signatures")
-    nodes = signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = store(buckets.join(sizes, "bucket"), "members")
-    rank = members.groupBy("node").agg(F.sum("size").alias("rank"))
-    members = store(members.join(rank, "node"), "ranked")
-    texts = store(rows_.select("text").mapInArrow(_node_texts(k), "node long, text string").join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    small, large = members.where(F.col("size") <= SMALL), store(members.where(F.col("size") > SMALL), "large")
+    nodes = store(signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
     fit = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)  # noqa: E731  no similarity above the ratio of the sizes
 
-    def offered(left: DataFrame, right: DataFrame) -> DataFrame:
-        pair = left.alias("l").join(right.alias("r"), F.col("l.bucket") == F.col("r.bucket")).where((F.col("l.node") != F.col("r.node")) & fit(F.col("l.n"), F.col("r.n")))
-        return pair.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        t = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return t.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, similarity double")
-
-    chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
-    leaders = large.groupBy("bucket").agg(F.array(*chosen).alias("l")).select("bucket", F.explode("l").alias("l")).select("bucket", "l.node", "l.n").distinct()
-    edges = store(verified(offered(small, small.select("bucket", "node", "n")).unionByName(offered(leaders, large)).distinct()), "links")
+    def sized(buckets: DataFrame) -> DataFrame:
+        """(node, n, bucket) with the size of each bucket of two nodes or more."""
+        return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.alias("l").join(right.alias("r"), "bucket").where((F.col("l.node") != F.col("r.node")) & fit(F.col("l.n"), F.col("r.n")))
+        return both.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+    def offered(members: DataFrame) -> DataFrame:
+        small, large = (members.where(c).select("bucket", "node", "n", "rank") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
+        chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", "bucket"), F.xxhash64("bucket", "node"))]
+        leaders = large.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n")))).alias("l")).select("bucket", F.inline("l"))
+        return pairs(small, small).unionByName(pairs(leaders, large))
+
+    members = store(sized(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "members")
+    rank = store(members.groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
+    crowded = members.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("bucket").alias("crowded"))
+    own = nodes.select("node", "n", "bands").join(crowded, "node")
+    finer = own.select("node", "n", "bands", F.explode("crowded").alias("c")).select("node", "n", "c", F.explode("bands").alias("band")).where("c <> band").select("node", "n", F.xxhash64("c", "band").alias("bucket"))
+    members = members.join(rank, "node")
+    found = offered(members).unionByName(offered(sized(finer).join(rank, "node"))).distinct()
+    register = lambda c, r: nodes.select(F.col("node").alias(c), F.col("registers").alias(r))
+    near = found.join(register("a", "ra"), "a").join(register("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(_agreeing(AGREE if bands * rows >= 120 else 0.0), "a long, b long")
+    near = store(near, "candidates")
+    used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = store(rows_.select("text").mapInArrow(_node_texts(k), "node long, text string").join(used, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    with_texts = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    edges = store(with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, similarity double"), "links")
     classes = components(edges)
-    led = leaders.select("bucket", "node")
-    while True:
-        named = large.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        passed = led.join(classes, "node", "left").select("bucket", F.coalesce("component", "node").alias("component")).distinct()
-        left = named.join(passed, ["bucket", "component"], "left_anti")
-        leaders = store(left.groupBy("bucket").agg(F.max(F.struct("rank", "node", "n", "component")).alias("l")).select("bucket", "l.node", "l.n", "l.component"), "leaders")
-        if leaders.isEmpty():
-            break
-        more = offered(leaders, named.join(leaders.select("bucket", F.col("component").alias("own")), "bucket").where("component <> own").select("bucket", "node", "n"))
-        more = store(verified(more), "links")
-        led = store(led.unionByName(leaders.select("bucket", "node")), "led")
-        if not more.isEmpty():
-            edges = edges.unionByName(more).dropDuplicates(["a", "b"])
-            classes = components(edges)
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     by = signed_.select("doc_id", "row_key", "node", "n").join(classes, "node", "left").join(degree, "node", "left")
     # a class of its own for each row without words
