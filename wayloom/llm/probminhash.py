@@ -9,14 +9,15 @@ the shingle sets decides.
 
 How it scales. Texts with equal shingle sets are one node. A bucket of up to ``SMALL`` nodes
 offers all its pairs, a larger one the pairs with three leaders (the node that shares most
-buckets with others, and two at random), chosen by aggregation, so candidates grow in
-proportion to bucket sizes. The nodes of a larger bucket are also dealt into finer buckets, one
-for each further band, which offer their pairs by the same rule: similar texts share about
-eight bands, so they meet again where a passage common to many texts no longer fills the
-bucket. Pairs whose registers (8 bits of each) agree in less than ``AGREE`` of all cannot be
-at the threshold, but for one in 200,000 of those right at it, and are dropped before texts
-are compared. Classes are connected components by alternating star contraction. Nothing is
-collected.
+buckets with others, and two by hash), chosen by aggregation, so candidates grow in proportion
+to bucket sizes. Classes are connected components by alternating star contraction. Then the
+nodes of larger buckets are dealt into finer ones, one for each further band; of each class a
+finer bucket holds up to three nodes, and offers pairs between classes by the same rule. Similar texts share about eight
+bands, so two classes that belong together meet again where a passage common to many texts no
+longer fills the bucket. Pairs whose registers (8 bits of each) agree in less than ``AGREE`` of
+all cannot be at the threshold, but for one in 200,000 of those right at it, and are dropped
+before texts are compared. Only texts of nodes that share a bucket are shuffled: a bitmap of
+fixed size, broadcast, lets most others go first. Nothing else is collected.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased (A-Z); sets are keyed
 by 64-bit hashes. Defined results: a text of fewer than five words is one shingle of them all;
@@ -43,6 +44,8 @@ BANDS, ROWS = 24, 5
 SMALL = 8
 #: 4.5 standard deviations of 120 registers below the threshold.
 AGREE = 0.63
+#: Bits of the bitmap of wanted nodes: 8 MB.
+BITMAP = 1 << 26
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -101,12 +104,24 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _node_texts(k: int):
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """Which of BITMAP positions some node has; fuller means more texts pass, never fewer."""
+    at = F.col("node").bitwiseAND(F.lit(BITMAP - 1))
+    words = nodes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast((node & {BITMAP - 1}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
+    out = np.zeros(BITMAP // 64, dtype=np.int64)
+    for r in words.toLocalIterator():  # at most BITMAP / 64 rows
+        out[r[0]] = r[1]
+    return out.view(np.uint64)
+
+
+def _node_texts(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for b in batches:
             for at, bodies in chunks(norm_bytes(t) for t in b.column(0).to_pylist()):
                 *_, first, nodes = _sets(bodies, k)
-                some = np.flatnonzero(np.diff(first) > 0)
+                i = nodes & (BITMAP - 1)
+                some = np.flatnonzero((np.diff(first) > 0) & ((bits[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0))
                 yield pa.record_batch([nodes[some], b.column(0).slice(at, len(bodies)).take(pa.array(some))], names=["node", "text"])
 
     return run
@@ -182,7 +197,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>, registers binary")
-    signed_ = store(signed_, "signatures")
+    signed_, spark = store(signed_, "signatures"), docs.sparkSession
     nodes = store(signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
     fit = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)  # noqa: E731  no similarity above the ratio of the sizes
 
@@ -196,25 +211,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def offered(members: DataFrame) -> DataFrame:
         small, large = (members.where(c).select("bucket", "node", "n", "rank") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
-        chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", "bucket"), F.xxhash64("bucket", "node"))]
+        chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
         leaders = large.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n")))).alias("l")).select("bucket", F.inline("l"))
-        return pairs(small, small).unionByName(pairs(leaders, large))
+        return pairs(small, small).unionByName(pairs(leaders, large)).distinct()
+
+    register = lambda c, r: nodes.select(F.col("node").alias(c), F.col("registers").alias(r))
+    words = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
+
+    def linked(found: DataFrame) -> DataFrame:
+        near = found.join(register("a", "ra"), "a").join(register("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(_agreeing(AGREE if bands * rows >= 120 else 0.0), "a long, b long")
+        near = store(near, "candidates").join(words("a", "ta"), "a").join(words("b", "tb"), "b")
+        return store(near.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, similarity double"), "links")
 
     members = store(sized(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "members")
     rank = store(members.groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
-    crowded = members.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("bucket").alias("crowded"))
-    own = nodes.select("node", "n", "bands").join(crowded, "node")
-    finer = own.select("node", "n", "bands", F.explode("crowded").alias("c")).select("node", "n", "c", F.explode("bands").alias("band")).where("c <> band").select("node", "n", F.xxhash64("c", "band").alias("bucket"))
-    members = members.join(rank, "node")
-    found = offered(members).unionByName(offered(sized(finer).join(rank, "node"))).distinct()
-    register = lambda c, r: nodes.select(F.col("node").alias(c), F.col("registers").alias(r))
-    near = found.join(register("a", "ra"), "a").join(register("b", "rb"), "b").select("a", "b", "ra", "rb").mapInArrow(_agreeing(AGREE if bands * rows >= 120 else 0.0), "a long, b long")
-    near = store(near, "candidates")
-    used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = store(rows_.select("text").mapInArrow(_node_texts(k), "node long, text string").join(used, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    with_texts = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    edges = store(with_texts.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, similarity double"), "links")
+    wanted = spark.sparkContext.broadcast(_bitmap(rank))
+    texts = store(rows_.select("text").mapInArrow(_node_texts(k, wanted), "node long, text string").join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    edges = linked(offered(members.join(rank, "node")))
     classes = components(edges)
+    crowded = members.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("bucket").alias("crowded"))
+    own = nodes.select("node", "n", "bands").join(crowded, "node").join(rank, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    finer = own.select("node", "n", "rank", "component", "bands", F.explode("crowded").alias("c")).withColumn("band", F.explode("bands")).where("c <> band").withColumn("bucket", F.xxhash64("c", "band"))
+    picked = [F.max(F.struct(order.alias("o"), "rank", "node", "n")) for order in (F.col("rank"), F.xxhash64("node", "bucket"), F.xxhash64("bucket", "node"))]
+    finer = finer.groupBy("bucket", "component").agg(F.array_distinct(F.transform(F.array(*picked), lambda x: F.struct(x["rank"].alias("rank"), x["node"].alias("node"), x["n"].alias("n")))).alias("m")).select("bucket", "component", F.inline("m"))
+    named = lambda c, x: finer.select(F.col("node").alias(c), F.col("component").alias(x)).distinct()
+    across = offered(sized(finer)).join(named("a", "ca"), "a").join(named("b", "cb"), "b").where("ca <> cb").select("a", "b")
+    more = linked(across)
+    if not more.isEmpty():
+        edges = store(edges.unionByName(more).dropDuplicates(["a", "b"]), "links")
+        classes = components(edges)
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     by = signed_.select("doc_id", "row_key", "node", "n").join(classes, "node", "left").join(degree, "node", "left")
     # a class of its own for each row without words
