@@ -37,11 +37,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Rows in one batch to a Python worker: whole texts are long.
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and keeps their batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     import wayloom
