@@ -104,7 +104,7 @@ def _scan(phrases, slop: int | None):
             names = b.schema.names
             spans = [x or [] for x in b.column(names.index("spans")).to_pylist()]
             n_words = np.zeros(b.num_rows, dtype=np.int64)
-            for first, bodies in chunks((norm_bytes(t) for t in b.column(names.index("_text")).to_pylist()), 8 << 20):
+            for first, bodies in chunks((norm_bytes(t) for t in b.column(names.index("_text")).to_pylist())):
                 seg = Segment(bodies, p)
                 n_words[first : first + len(bodies)] = np.diff(seg.words.first)
                 for n, rows, items in p.groups:

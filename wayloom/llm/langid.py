@@ -64,7 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(_body(text))
         for lang, bodies in by.items():
-            for _, run in chunks(bodies, 4 << 20):
+            for _, run in chunks(bodies, 2 << 20):
                 held.setdefault(lang, []).append(np.unique(_grams(run)[0], return_counts=True))
             if len(held[lang]) > 8:
                 held[lang] = [merged(lang)]

@@ -202,7 +202,7 @@ def _task(path: str, tiers: tuple[int, ...], with_ids: bool):
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             bodies = (b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist())
-            for first, run_ in chunks(bodies, 4 << 20):
+            for first, run_ in chunks(bodies, 2 << 20):
                 for k, ids in enumerate(tok.encode(run_)):
                     full = np.append(ids, np.int32(END))
                     packer.add((doc_ids[first + k], full), len(full))

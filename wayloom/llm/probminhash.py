@@ -206,13 +206,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        both = left.alias("l").join(right.alias("r"), "bucket").where((F.col("l.node") != F.col("r.node")) & fit(F.col("l.n"), F.col("r.n")))
+        on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & fit(F.col("l.n"), F.col("r.n"))
+        both = left.alias("l").join(right.alias("r"), on)
         return both.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
     def offered(members: DataFrame) -> DataFrame:
-        small, large = (members.where(c).select("bucket", "node", "n", "rank") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
-        chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
-        leaders = large.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n")))).alias("l")).select("bucket", F.inline("l"))
+        """Pairs between components: all of a small bucket, those with three leaders of a larger one."""
+        small, large = (members.where(c).select("bucket", "node", "n", "rank", "component") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
+        chosen = [F.max(F.struct(order.alias("o"), "node", "n", "component")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
+        leaders = large.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["component"].alias("component")))).alias("l")).select("bucket", F.inline("l"))
         return pairs(small, small).unionByName(pairs(leaders, large)).distinct()
 
     register = lambda c, r: nodes.select(F.col("node").alias(c), F.col("registers").alias(r))
@@ -227,16 +229,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = store(members.groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
     wanted = spark.sparkContext.broadcast(_bitmap(rank))
     texts = store(rows_.select("text").mapInArrow(_node_texts(k, wanted), "node long, text string").join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    edges = linked(offered(members.join(rank, "node")))
+    edges = linked(offered(members.join(rank, "node").withColumn("component", F.col("node"))))
     classes = components(edges)
     crowded = members.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("bucket").alias("crowded"))
     own = nodes.select("node", "n", "bands").join(crowded, "node").join(rank, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     finer = own.select("node", "n", "rank", "component", "bands", F.explode("crowded").alias("c")).withColumn("band", F.explode("bands")).where("c <> band").withColumn("bucket", F.xxhash64("c", "band"))
     picked = [F.max(F.struct(order.alias("o"), "rank", "node", "n")) for order in (F.col("rank"), F.xxhash64("node", "bucket"), F.xxhash64("bucket", "node"))]
     finer = finer.groupBy("bucket", "component").agg(F.array_distinct(F.transform(F.array(*picked), lambda x: F.struct(x["rank"].alias("rank"), x["node"].alias("node"), x["n"].alias("n")))).alias("m")).select("bucket", "component", F.inline("m"))
-    named = lambda c, x: finer.select(F.col("node").alias(c), F.col("component").alias(x)).distinct()
-    across = offered(sized(finer)).join(named("a", "ca"), "a").join(named("b", "cb"), "b").where("ca <> cb").select("a", "b")
-    more = linked(across)
+    more = linked(offered(sized(finer)))
     if not more.isEmpty():
         edges = store(edges.unionByName(more).dropDuplicates(["a", "b"]), "links")
         classes = components(edges)

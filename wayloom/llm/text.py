@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text handled at a time; a longer text makes a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
