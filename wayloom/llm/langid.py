@@ -64,7 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(_body(text))
         for lang, bodies in by.items():
-            for _, run in chunks(bodies, 2 << 20):
+            for _, run in chunks(bodies, 1 << 20):
                 held.setdefault(lang, []).append(np.unique(_grams(run)[0], return_counts=True))
             if len(held[lang]) > 8:
                 held[lang] = [merged(lang)]
@@ -149,7 +149,7 @@ def predict(text: Column, filters: Filters, spark) -> Column:
         lang, score, known = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
         if f.langs:
             letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
-            for first, run in chunks((_body(t) for t in texts), 2 << 20):
+            for first, run in chunks((_body(t) for t in texts), 1 << 20):
                 g, text = _grams(run)
                 c = f.counts(g, text, len(run))
                 best, at = c.argmax(axis=1), slice(first, first + len(run))

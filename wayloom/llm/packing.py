@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.shared import ship
-from wayloom.llm.text import BLACK, Words, chunks
+from wayloom.llm.text import BLACK, Words, chunks, release
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
 #: Tokens of a packed group, of a step group, and words a worker's cache holds.
-GROUP, STEP, CACHE = 1 << 20, 1 << 15, 500_000
+GROUP, STEP, CACHE = 1 << 20, 1 << 15, 250_000
 #: A token never spans an ASCII letter (1) next to another visible ASCII character (2); apostrophes may join.
 KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if b < 128 and BLACK[b] and b != 0x27 else 0 for b in range(256)], dtype=np.uint8)
 
@@ -47,6 +47,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
         self.at: dict[int, int] = {}
         self.start, self.length, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
@@ -79,7 +82,7 @@ class WordTokenizer:
         w = Words(bodies, BLACK, kinds=KINDS)
         code, keys = pd.factorize(w.hashes())
         if len(self.at) + len(keys) > max(CACHE, 2 * len(keys)):
-            self.at, self.used = {}, 0
+            self.forget()
         keys = keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.at]
         if new:
@@ -213,6 +216,8 @@ def _task(path: str, tiers: tuple[int, ...], with_ids: bool):
                     yield rows()
         packer.pack(last=True)
         yield rows()
+        tok.forget()
+        release()
 
     return run
 
