@@ -187,15 +187,16 @@ def tile_bboxes(spark, sf_dir):
     return spatial.tile_boxes(spatial.str_tiles(_edges(spark, sf_dir))).select("strip", "tile", "n_edges", *[F.round(c, 6).alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
 
 
-#: Nearest segments within a block of 3 x 3 tiles of 0.03 degrees; points whose best isn't nearer than a tile have no row here.
+#: Nearest segments within a block of 3 x 3 tiles, smaller where roads are denser; points whose best isn't nearer than a tile have no row here.
 _SNAP = f"""with {_GRAPH}, e as (select distinct src, dst, lat_src, lon_src, lat_dst, lon_dst from edges),
-e1 as (select *, unnest(range(cast(floor(least(lat_src, lat_dst) / 3e-2) as bigint), cast(floor(greatest(lat_src, lat_dst) / 3e-2) as bigint) + 1)) as ty from e),
-e2 as (select *, case when lat_dst = lat_src then lon_src else lon_src + (lon_dst - lon_src) * (greatest(least(lat_src, lat_dst), least(greatest(lat_src, lat_dst), ty * 3e-2)) - lat_src) / (lat_dst - lat_src) end as xa, case when lat_dst = lat_src then lon_dst else lon_src + (lon_dst - lon_src) * (greatest(least(lat_src, lat_dst), least(greatest(lat_src, lat_dst), (ty + 1) * 3e-2)) - lat_src) / (lat_dst - lat_src) end as xb from e1),
-e3 as (select *, unnest(range(cast(floor((least(xa, xb) - 1e-9) / 3e-2) as bigint), cast(floor((greatest(xa, xb) + 1e-9) / 3e-2) as bigint) + 1)) as tx from e2),
-q as (select point_id, lat, lon, cast(floor(lat / 3e-2) as bigint) + dy.i as ty, cast(floor(lon / 3e-2) as bigint) + dx.i as tx from fx_points, (select unnest([-1, 0, 1]) as i) dy, (select unnest([-1, 0, 1]) as i) dx),
+zz as (select 9e0 / sqrt(count(*)) as z from e),
+e1 as (select *, unnest(range(cast(floor(least(lat_src, lat_dst) / (select z from zz)) as bigint), cast(floor(greatest(lat_src, lat_dst) / (select z from zz)) as bigint) + 1)) as ty from e),
+e2 as (select *, case when lat_dst = lat_src then lon_src else lon_src + (lon_dst - lon_src) * (greatest(least(lat_src, lat_dst), least(greatest(lat_src, lat_dst), ty * (select z from zz))) - lat_src) / (lat_dst - lat_src) end as xa, case when lat_dst = lat_src then lon_dst else lon_src + (lon_dst - lon_src) * (greatest(least(lat_src, lat_dst), least(greatest(lat_src, lat_dst), (ty + 1) * (select z from zz))) - lat_src) / (lat_dst - lat_src) end as xb from e1),
+e3 as (select *, unnest(range(cast(floor((least(xa, xb) - 1e-9) / (select z from zz)) as bigint), cast(floor((greatest(xa, xb) + 1e-9) / (select z from zz)) as bigint) + 1)) as tx from e2),
+q as (select point_id, lat, lon, cast(floor(lat / (select z from zz)) as bigint) + dy.i as ty, cast(floor(lon / (select z from zz)) as bigint) + dx.i as tx from fx_points, (select unnest([-1, 0, 1]) as i) dy, (select unnest([-1, 0, 1]) as i) dx),
 p as (select distinct point_id, q.lat, q.lon, src, dst, lat_src, lon_src, lat_dst, lon_dst, case when power(lat_dst - lat_src, 2) + power(lon_dst - lon_src, 2) < 1e-18 then 0e0 else greatest(0e0, least(1e0, ((q.lat - lat_src) * (lat_dst - lat_src) + (q.lon - lon_src) * (lon_dst - lon_src)) / ((lat_dst - lat_src) * (lat_dst - lat_src) + (lon_dst - lon_src) * (lon_dst - lon_src)))) end as t from q join e3 using (ty, tx)),
 s0 as (select point_id, min(struct_pack(mm := round({_HAV('lat', 'lon', '(lat_src + t * (lat_dst - lat_src))', '(lon_src + t * (lon_dst - lon_src))')}, 3), src := src, dst := dst, t := t, plat := lat_src + t * (lat_dst - lat_src), plon := lon_src + t * (lon_dst - lon_src))) as s from p group by 1),
-s as (select * from s0 where s.mm < 3000)"""
+s as (select * from s0 where s.mm < 1e5 * (select z from zz))"""
 
 
 @query(f"{_SNAP} select point_id, s.src as edge_u, s.dst as edge_v, round(s.t, 3) as t, round(s.plat, 5) as proj_lat, round(s.plon, 5) as proj_lon, s.mm as dist_m from s")
