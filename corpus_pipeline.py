@@ -10,7 +10,7 @@ from wayloom.llm import decontaminate, langid, packing, patricia, probminhash
 from wayloom.llm.shared import carry, crc_bucket, restored, store
 
 #: A text is rejected where less than this share of its n-grams is known in the language that fits best.
-MIN_KNOWN = 0.2
+MIN_KNOWN = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
