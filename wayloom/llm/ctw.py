@@ -7,8 +7,10 @@ the weights of context-tree weighting mix the estimates of all depths. A context
 has not seen adds nothing to its parent's estimate.
 
 How it scales. Training counts (context, byte) pairs with a combine in every task; the trees
-are cut by the two nearest context bytes, so a shard holds at most 256^(DEPTH-1) pairs and the
-levels above all shards fit 256*256+256 nodes. Scoring never broadcasts the model: texts are
+are cut below the ``CUT`` nearest context bytes, and the branches dealt into shards of about
+``SHARD`` pairs, so more input means more shards. A branch, which stays whole, has at most
+256^(DEPTH-CUT+1) pairs; the levels above all branches have at most 255*256^(CUT-1) nodes each,
+in practice those of the byte pairs that occur, and are broadcast. Scoring never broadcasts the model: texts are
 dealt into blocks of about ``BLOCK`` bytes, each block asks for its distinct pairs and words,
 the answers are joined on those keys and come back to the block.
 
@@ -32,6 +34,8 @@ from wayloom.llm.shared import ship, store
 from wayloom.llm.text import BLACK, Words, chunks, norm_bytes, signed
 
 DEPTH = 5
+#: Levels above the branches, and pairs in a shard of branches.
+CUT, SHARD = 3, 1 << 14
 #: Bytes of text in a block, and of a step inside it.
 BLOCK, STEP = 20 << 20, 1 << 20
 _END = b"\xff"
@@ -127,6 +131,11 @@ def _nodes(ctx: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return ids, np.bincount(at, weights=n * (1 - bit), minlength=len(ids)).astype(float), np.bincount(at, weights=n * bit, minlength=len(ids)).astype(float)
 
 
+def _parent(ids: np.ndarray) -> np.ndarray:
+    """The same bit prefix one context byte less."""
+    return ((ids >> 16) << 8) | (ids & 255)
+
+
 def _weights(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A node's log weighted probability and the weight of its own estimate."""
     own = log_kt(n0, n1)
@@ -134,20 +143,19 @@ def _weights(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndar
 
 
 class Shard:
-    """Levels 2 to depth of the trees under one pair of nearest bytes (or of all, in tests)."""
+    """Levels CUT to depth of some branches of the trees (or of all, in tests)."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, depth: int):
         seen = n > 0
         key, n = key[seen], n[seen]
         self.depth, self.levels = depth, {}
         child = None
-        for d in range(depth, 1, -1):
+        for d in range(depth, CUT - 1, -1):
             ids, n0, n1 = _nodes(key >> (8 * (depth - d) + 8), key & 255, n)
             if child is None:
                 lw, beta = log_kt(n0, n1), np.ones(len(ids))
             else:
-                parent = ((child[0] >> 16) << 8) | (child[0] & 255)
-                below = np.bincount(np.searchsorted(ids, parent), weights=child[1], minlength=len(ids))
+                below = np.bincount(np.searchsorted(ids, _parent(child[0])), weights=child[1], minlength=len(ids))
                 lw, beta = _weights(n0, n1, below)
             self.levels[d] = (ids, n0, n1, beta)
             child = (ids, lw)
@@ -155,12 +163,12 @@ class Shard:
 
     def log_p(self, key: np.ndarray, tops: Tops) -> np.ndarray:
         """Natural log probability of each pair's byte after its context."""
-        x, out = key & 255, np.zeros(len(key))
+        x, out, levels = key & 255, np.zeros(len(key)), self.levels | tops.levels
         for j in range(8):
             node, bit = (1 << j) | (x >> (8 - j)), (x >> (7 - j)) & 1
             p, some = np.zeros(len(key)), np.zeros(len(key), dtype=bool)
-            for d in range(self.depth, 1, -1):
-                ids, n0, n1, beta = self.levels[d]
+            for d in range(self.depth, -1, -1):
+                ids, n0, n1, beta = levels[d]
                 if not len(ids):
                     continue
                 want = ((key >> (8 * (self.depth - d) + 8)) << 8) | node
@@ -169,32 +177,28 @@ class Shard:
                 kt = (np.where(bit, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
                 p = np.where(hit, np.where(some, beta[at] * kt + (1 - beta[at]) * p, kt), p)
                 some |= hit
-            c1 = key >> (8 * self.depth)
-            for n0, n1, beta in ((tops.n0[c1, node], tops.n1[c1, node], tops.b1[c1, node]), (tops.n0.sum(0)[node], tops.n1.sum(0)[node], tops.b0[node])):
-                kt = (np.where(bit, n1, n0) + 0.5) / (n0 + n1 + 1)
-                hit = n0 + n1 > 0
-                p = np.where(hit, np.where(some, beta * kt + (1 - beta) * p, kt), p)
-                some |= hit
             out += np.log(np.where(some, p, 0.5))
         return out
 
     def summary(self) -> tuple[np.ndarray, ...]:
-        """Per (nearest byte, bit prefix): zeros, ones and the sum of the children's log weighted probabilities."""
-        ids, n0, n1, _ = self.levels[2]
-        up, at = np.unique(((ids >> 16) << 8) | (ids & 255), return_inverse=True)
+        """Per node of level CUT - 1: zeros, ones and the sum of the children's log weighted probabilities."""
+        ids, n0, n1, _ = self.levels[CUT]
+        up, at = np.unique(_parent(ids), return_inverse=True)
         return up, *(np.bincount(at, weights=w).astype(float) for w in (n0, n1, self.top[1]))
 
 
 class Tops:
-    """Depths 0 and 1 of the trees: at most 256*256+256 nodes."""
+    """Levels 0 to CUT - 1 of the trees."""
 
     def __init__(self, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
-        self.n0, self.n1, low = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
-        c, node = ids >> 8, ids & 255
-        self.n0[c, node], self.n1[c, node], low[c, node] = n0, n1, below
-        lw, self.b1 = _weights(self.n0, self.n1, low)
-        lw = np.where(self.n0 + self.n1 > 0, lw, 0)
-        self.b0 = _weights(self.n0.sum(0), self.n1.sum(0), lw.sum(0))[1]
+        order = np.argsort(ids)
+        ids, n0, n1, below = ids[order], n0[order], n1[order], below[order]
+        self.levels = {}
+        for d in range(CUT - 1, -1, -1):
+            lw, beta = _weights(n0, n1, below)
+            self.levels[d] = (ids, n0, n1, beta)
+            ids, at = np.unique(_parent(ids), return_inverse=True)
+            n0, n1, below = (np.bincount(at, weights=w).astype(float) for w in (n0, n1, lw))
 
 
 def _arrays(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -260,18 +264,20 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """Scores every row; the model learns from the rows where ``held_out`` is false."""
+    """Scores every row; the model learns from the rows where ``held_out`` is false. ``depth`` is CUT to 6."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     counts = rows.select("text", ~F.col("held_out")).mapInArrow(_count(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = store(counts, "counts")
-    words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_tokens, n_distinct = words[0] + n_train, words[1] + (n_train > 0)
-    pairs = counts.where(F.col("kind") == PAIR).select("key", "n", F.shiftright("key", 8 * (depth - 1)).alias("shard"))
+    word = (F.col("kind") == WORD) & (F.col("n") > 0)
+    known, distinct, n_pairs = counts.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)), F.count_if(word), F.count_if(F.col("kind") == PAIR)).first()
+    n_tokens, n_distinct = known + n_train, distinct + (n_train > 0)
+    branch, shards = F.shiftright("key", 8 * (depth - CUT + 1)), max(1, -(-n_pairs // SHARD))
+    pairs = counts.where(F.col("kind") == PAIR).select("key", "n", F.pmod(F.xxhash64(branch), F.lit(shards)).alias("shard"))
     tops = pairs.groupBy("shard").applyInArrow(_summary(depth), "id long, n0 double, n1 double, below double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
-    t = tops.toPandas()  # at most 256 * 256 rows
+    t = tops.toPandas()  # at most 255 * 256 ** (CUT - 1) rows
     held = spark.sparkContext.broadcast(Tops(*(t[c].to_numpy(kind) for c, kind in (("id", np.int64), ("n0", float), ("n1", float), ("below", float)))))
     value = pairs.groupBy("shard").applyInArrow(_answers(depth, held), "kind int, key long, value double").unionByName(counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-int(size) // block)))))
