@@ -74,8 +74,14 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by writing to the shared folder, which outlives any executor."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cuts lineage by writing to the shared folder, which outlives any executor.
+
+    The table is deleted when the application ends, as results may still read it before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
