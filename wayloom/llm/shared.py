@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.sources.tables import shared_folder, ship
+from wayloom.sources.tables import cut, ship
 
 __all__ = ["carry", "crc_bucket", "restored", "ship", "store"]
 
 
 def store(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
