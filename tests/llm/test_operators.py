@@ -51,6 +51,12 @@ def test_exact_dedup(spark):
         assert r.keep_id == max(own) and r.group_size == len(own)
     assert sum(r.kept for r in got) == len(groups)
     assert patricia.keep_owners(d).count() == len(groups)
+    clash = d.withColumn("sha", F.lit("mine")).withColumn("ident", F.lit(1))
+    kept = patricia.keep_owners(clash.unionByName(clash.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert kept.columns == clash.columns and {r.sha for r in kept.collect()} == {"mine"}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
+    alone = patricia.keep_owners(docs(spark, "x", "x").withColumn("doc_id", F.lit(None).cast("long")))
+    assert [r.doc_id for r in alone.collect()] == [None]
     assert patricia.exact_dedup(d.limit(0)).count() == 0
     assert min(r.keep_id for r in patricia.owners(d, keep="smallest").collect()) == 0
 

@@ -8,8 +8,8 @@ strings; the leading hash bytes of a key only spread the subtrees evenly, so tha
 that outgrows the memory budget can be spilled alone and rebuilt later. Spilled bytes are
 scratch of one task attempt, deleted with it: a lost executor's task simply starts again.
 
-Defined results: a null text is the empty text; a null id is smaller than any other; of
-equal rows that also share an id exactly one is kept; an empty table gives no rows.
+Defined results: a null text is the empty text; a null id counts as -2^63, smaller than any other;
+of equal rows that also share an id exactly one is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.llm.shared import ship
+from wayloom.llm.shared import carry, restored, ship
 from wayloom.llm.text import norm_bytes
 
 #: Bytes of keys a task holds before it spills its largest subtree.
@@ -208,7 +208,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    own = owners(docs, id_col, text_col, keep).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_id"))
-    marked = docs.withColumn("_sha", text_digest(F.col(text_col).cast("string"))).withColumn("_id", F.col(id_col).cast("long"))
-    kept = marked.join(own, (marked["_sha"] == own["_sha"]) & marked["_id"].eqNullSafe(own["_id"]), "left_semi")
-    return kept.dropDuplicates(["_sha", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ident = lambda c: F.coalesce(c, F.lit(_NONE))
+    text, at = (F.col(f"_c{docs.columns.index(c)}") for c in (text_col, id_col))
+    own = owners(docs, id_col, text_col, keep).select(F.col("text_sha256").alias("sha"), ident(F.col("keep_id")).alias("ident"))
+    marked = carry(docs).withColumns({"sha": text_digest(text.cast("string")), "ident": ident(at.cast("long"))})
+    # the join and the removal of repeated rows share one shuffle of the texts
+    return restored(marked.join(own, ["sha", "ident"], "left_semi").dropDuplicates(["sha", "ident"]), docs)
