@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.llm.shared import carry, restored, ship
-from wayloom.llm.text import norm_bytes
+from wayloom.llm.text import norm_bytes, release
 
 #: Bytes of keys a task holds before it spills its largest subtree.
 BUDGET = 64 << 20
@@ -166,7 +166,10 @@ def _combine(largest: bool):
             if held > BUDGET:
                 yield from emit(trie)
                 trie, held = PatriciaTrie(), 0
+                release()
         yield from emit(trie)
+        del trie
+        release()
 
     return run
 
@@ -178,6 +181,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie.insert(head.to_bytes(8, "little", signed=True) + body, ident, n)
     for rows in _rows(trie):
         yield pa.record_batch([[hashlib.sha256(memoryview(k)[8:]).hexdigest() for k, _, _ in rows], [i for _, i, _ in rows], [n for _, _, n in rows]], schema=_OWNERS)
+    del trie
+    release()
 
 
 def _digest(texts: pd.Series) -> pd.Series:

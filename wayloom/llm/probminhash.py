@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.shared import carry, restored, ship, store
-from wayloom.llm.text import ALNUM, Words, chunks, mix, norm_bytes, shingles, signed
+from wayloom.llm.text import ALNUM, Words, chunks, mix, norm_bytes, release, shingles, signed
 
 K, THRESHOLD = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 is missed with probability 7e-5.
@@ -165,6 +165,8 @@ def _even(texts: Iterator[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, l
         size += len(t)
     if run:
         yield at, run
+    run = []
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:
