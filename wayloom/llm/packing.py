@@ -99,15 +99,6 @@ class WordTokenizer:
         return [flat[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 #: A piece: (length, order of arrival, start, document); documents are (doc_id, ids).
 Piece = tuple[int, int, int, tuple]
 
@@ -166,7 +157,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _task(path: str, tiers: tuple[int, ...], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = WordTokenizer(path)  # loads in a tenth of a second; a worker that is kept does not hold it
         base = TaskContext.get().partitionId() << 36
         windows: list[tuple[int, list[Piece]]] = []
         packer = Packer(lambda size, row: windows.append((size, row)), tiers)
@@ -205,7 +196,7 @@ def _task(path: str, tiers: tuple[int, ...], with_ids: bool):
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             bodies = (b"" if t is None else t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist())
-            for first, run_ in chunks(bodies, 2 << 20):
+            for first, run_ in chunks(bodies):
                 for k, ids in enumerate(tok.encode(run_)):
                     full = np.append(ids, np.int32(END))
                     packer.add((doc_ids[first + k], full), len(full))
@@ -216,7 +207,7 @@ def _task(path: str, tiers: tuple[int, ...], with_ids: bool):
                     yield rows()
         packer.pack(last=True)
         yield rows()
-        tok.forget()
+        del tok
         release()
 
     return run
