@@ -211,6 +211,22 @@ def test_near_dedup_odd_rows(spark):
     assert probminhash.keep_one(mine.unionByName(mine)).count() == 1 + len(ODD) - 2
 
 
+def test_near_dedup_unequal_repetition(spark):
+    rng = np.random.default_rng(5)
+    texts, want = [], 0
+    rx = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for i in range(40):
+        w = [f"t{i}w{j}" for j in range(200)]
+        x = " ".join(["p", *w, "q"])
+        # a passage of the text is repeated, in one text only
+        y = " ".join(["r", *w, *w[int(rng.integers(100, 120)) :] * 12, "s"])
+        texts += [x, y]
+        want += len(rx(x) & rx(y)) >= 0.8 * len(rx(x) | rx(y))
+    assert want == 40
+    got = {r.doc_id: r.class_id for r in probminhash.near_classes(docs(spark, *texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_register_agreement_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 62, 600, dtype=np.uint64), rng.integers(1, 1 << 62, 200, dtype=np.uint64)

@@ -4,8 +4,9 @@ A text is its weighted set of word shingles, weight 1 + ln(count). Every element
 of a Poisson process whose rate is its weight to random registers; a register keeps the element
 of its earliest arrival, and an element stops as soon as its next arrival comes after all
 registers of the text. Two texts agree in a register with the probability Jaccard similarity
-of their weighted sets. Bands of registers give candidates, and the exact Jaccard similarity of
-the shingle sets decides.
+of their weighted sets. Registers of unit weights estimate the plain Jaccard similarity in the
+same way. Bands of both give candidates, and the exact Jaccard similarity of the shingle sets
+decides: texts that differ in repetition only still share bands of unit weights.
 
 How it scales. Texts with equal shingle sets are one node. A bucket of up to ``SMALL`` nodes
 offers all its pairs, a larger one the pairs with three leaders (the node that shares most
@@ -14,7 +15,7 @@ to bucket sizes. Classes are connected components by alternating star contractio
 nodes of larger buckets are dealt into finer ones, one for each further band; of each class a
 finer bucket holds up to three nodes, and offers pairs between classes by the same rule. Similar texts share about eight
 bands, so two classes that belong together meet again where a passage common to many texts no
-longer fills the bucket. Pairs whose registers (8 bits of each) agree in less than ``AGREE`` of
+longer fills the bucket. Pairs whose registers of unit weights (8 bits of each) agree in less than ``AGREE`` of
 all cannot be at the threshold, but for one in 200,000 of those right at it, and are dropped
 before texts are compared. Only texts of nodes that share a bucket are shuffled: a bitmap of
 fixed size, broadcast, lets most others go first. Nothing else is collected.
@@ -85,21 +86,41 @@ def _sets(bodies: list[bytes], k: int):
     return h, owner, count, first, nodes
 
 
+def _bands(h: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Registers of unit weights, and band keys of both weightings with the mask of those to keep.
+
+    Without a repeated shingle both weightings are the same, so only other texts are signed twice.
+    """
+
+    def keyed(sig: np.ndarray) -> np.ndarray:
+        keys = np.zeros((len(sig), bands), dtype=np.uint64)
+        for j in range(bands):
+            x = np.full(len(sig), j + 1, dtype=np.uint64)
+            for v in sig[:, j * rows : (j + 1) * rows].T:
+                x = mix(x ^ v) + _STEP
+            keys[:, j] = x
+        return keys
+
+    sig = prob_min_hash(h, owner, np.ones(len(h)), n, bands * rows)
+    unit = keyed(sig)
+    weighted = unit.copy()
+    again = np.zeros(n, dtype=bool)
+    again[owner[count > 1]] = True
+    if again.any():
+        at = again[owner]
+        weighted[again] = keyed(prob_min_hash(h[at], (np.cumsum(again) - 1)[owner[at]], 1 + np.log(count[at]), int(again.sum()), bands * rows))
+    some = np.bincount(owner, minlength=n) > 0
+    return sig, np.hstack([unit, weighted]), np.hstack([np.repeat(some[:, None], bands, axis=1), weighted != unit])
+
+
 def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, bodies in chunks(norm_bytes(t) for t in b.column(2).to_pylist()):
                 h, owner, count, first, nodes = _sets(bodies, k)
-                sig = prob_min_hash(h, owner, 1 + np.log(np.maximum(count, 1)), len(bodies), bands * rows)
-                keys = np.zeros((len(bodies), bands), dtype=np.uint64)
-                for j in range(bands):
-                    x = np.full(len(bodies), j + 1, dtype=np.uint64)
-                    for v in sig[:, j * rows : (j + 1) * rows].T:
-                        x = mix(x ^ v) + _STEP
-                    keys[:, j] = x
-                keys = keys[np.diff(first) > 0].reshape(-1)
-                offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(first) > 0, bands, 0))]).astype(np.int32)
-                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys))), pa.array([r.tobytes() for r in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["doc_id", "row_key", "node", "n", "bands", "registers"])
+                sig, keys, own = _bands(h, owner, count, len(bodies), bands, rows)
+                offsets = np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32)
+                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys[own]))), pa.array([r.tobytes() for r in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["doc_id", "row_key", "node", "n", "bands", "registers"])
 
     return run
 
@@ -200,7 +221,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>, registers binary")
     signed_, spark = store(signed_, "signatures"), docs.sparkSession
-    nodes = store(signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
+    nodes = store(signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.max("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
     fit = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)  # noqa: E731  no similarity above the ratio of the sizes
 
     def sized(buckets: DataFrame) -> DataFrame:
