@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -227,6 +228,40 @@ def test_near_dedup_unequal_repetition(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_near_dedup_pairs_in_crowded_buckets(spark):
+    # many texts hold one passage, 0.74 between any two; a pair that shares more must not be lost among them
+    texts = []
+    for i in range(60):
+        w = [*(f"c{j}" for j in range(850)), *(f"u{i}x{j}" for j in range(150))]
+        texts += [" ".join(w), " ".join([*w[:930], *(f"v{i}x{j}" for j in range(70))])]
+    h, owner, count = probminhash.weighted_sets([t.encode() for t in texts])
+    sets = [set(h[owner == i].tolist()) for i in range(120)]
+    near = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {(i, i + 1) for i in range(0, 120, 2)}
+    bucket = probminhash._bands(h, owner, count, 120, 1, 1)[1][:, 0].tolist()
+    got = {r.doc_id: r.class_id for r in probminhash.near_classes(docs(spark, *texts), bands=1, rows=1).collect()}
+    met = [i for i, j in near if bucket[i] == bucket[j] and bucket.count(bucket[i]) > probminhash.SMALL]
+    assert len(met) > 20 and all(got[i + 1] == i for i in met)
+    assert all(c == i or (c, i) in near for i, c in got.items())
+
+
+def test_prefix_keys_meet():
+    rng = np.random.default_rng(11)
+    for n in (1, 3, 5, 7, 20, 44, 45, 100, 333):
+        for _ in range(20):
+            x = [f"w{i}" for i in range(n)]
+            y = x[: int(n * rng.uniform(0.8, 1)) + 1] + [f"z{i}" for i in range(int(rng.integers(0, n // 5 + 1)))]
+            a, b = ({" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (x, y))
+            batch = pa.record_batch([pa.array([1, 2]), pa.array([1, 2]), pa.array([" ".join(x), " ".join(y)])], names=["node", "component", "text"])
+            seen = type("B", (), {"value": rng.integers(0, 4, probminhash.SKETCH)})
+            keys = {1: set(), 2: set()}
+            for r in probminhash._prefixes(5, 0.8, seen)([batch]):
+                for key, node, size in zip(*(r.column(c).to_pylist() for c in range(3)), strict=True):
+                    keys[node].add(key)
+                    assert size == len((a, b)[node - 1])
+            assert len(a & b) < 0.8 * len(a | b) or keys[1] & keys[2]
+
+
 def test_register_agreement_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 62, 600, dtype=np.uint64), rng.integers(1, 1 << 62, 200, dtype=np.uint64)

@@ -11,11 +11,10 @@ decides: texts that differ in repetition only still share bands of unit weights.
 How it scales. Texts with equal shingle sets are one node. A bucket of up to ``SMALL`` nodes
 offers all its pairs, a larger one the pairs with three leaders (the node that shares most
 buckets with others, and two by hash), chosen by aggregation, so candidates grow in proportion
-to bucket sizes. Classes are connected components by alternating star contraction. Then the
-nodes of larger buckets are dealt into finer ones, one for each further band; of each class a
-finer bucket holds up to three nodes, and offers pairs between classes by the same rule. Similar texts share about eight
-bands, so two classes that belong together meet again where a passage common to many texts no
-longer fills the bucket. Pairs whose registers of unit weights (8 bits of each) agree in less than ``AGREE`` of
+to bucket sizes. Classes are connected components by alternating star contraction. Then
+nodes of larger buckets that hold several classes are joined exactly: every pair between classes
+that can reach the threshold shares one of its rarest shingles (a prefix filter by size classes)
+and is offered, without any cap. The largest class of a shingle meets only the others. Pairs whose registers of unit weights (8 bits of each) agree in less than ``AGREE`` of
 all cannot be at the threshold, but for one in 200,000 of those right at it, and are dropped
 before texts are compared. Only texts of nodes that share a bucket are shuffled: a bitmap of
 fixed size, broadcast, lets most others go first. Nothing else is collected.
@@ -47,6 +46,8 @@ SMALL = 8
 AGREE = 0.63
 #: Bits of the bitmap of wanted nodes: 8 MB.
 BITMAP = 1 << 26
+#: Counters that order shingles by frequency: 8 MB.
+SKETCH = 1 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -175,6 +176,66 @@ def _verify(k: int, threshold: float):
     return run
 
 
+def _counts(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, bodies in chunks(norm_bytes(t) for t in b.column(0).to_pylist()):
+                at, n = np.unique(_sets(bodies, k)[0] & np.uint64(SKETCH - 1), return_counts=True)
+                yield pa.record_batch([signed(at), n.astype(np.int64)], names=["at", "n"])
+
+    return run
+
+
+def _frequencies(held: DataFrame, k: int) -> np.ndarray:
+    """How often shingles of each of SKETCH hash classes occur; only an order, so collisions lose nothing."""
+    out = np.zeros(SKETCH, dtype=np.int64)
+    for r in held.select("text").mapInArrow(_counts(k), "at long, n long").groupBy("at").agg(F.sum("n")).toLocalIterator():  # at most SKETCH rows
+        out[r[0]] = r[1]
+    return out
+
+
+def _steps() -> np.ndarray:
+    """Least sizes of the size classes: single sizes at first, then 5 % wide."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return np.array(out)
+
+
+def _prefixes(k: int, threshold: float, seen):
+    """Keys of each set's rarest shingles, one for each size class that a partner may have.
+
+    Sets of x and y elements with a Jaccard similarity of t share at least o = t / (1 + t) (x + y), so they
+    share one of the first x - o + 1 and y - o + 1 in any common order. A key names the shingle
+    and both size classes; side is 0 for the lesser class, 1 for the greater, 2 for one's own.
+    """
+    steps = _steps()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, bodies in chunks(norm_bytes(t) for t in b.column(2).to_pylist()):
+                h, owner, _, first, _ = _sets(bodies, k)
+                h = h[np.lexsort((h, seen.value[h & np.uint64(SKETCH - 1)], owner))]
+                keys, rows, sides = [], [], []
+                for i in range(len(bodies)):
+                    n = int(first[i + 1] - first[i])
+                    least, most = int(np.ceil(threshold * n - 1e-9)), int(n / threshold + 1e-9)
+                    own, lo, hi = np.searchsorted(steps, [n, max(1, least), most], side="right") - 1
+                    for c in range(lo, hi + 1):
+                        shared = int(np.ceil(threshold / (1 + threshold) * (n + max(least, int(steps[c]))) - 1e-9))
+                        part = h[first[i] : first[i] + max(0, n - shared + 1)]
+                        keys.append(mix(part ^ mix(np.full(1, min(own, c) << 20 | max(own, c), dtype=np.uint64))))
+                        rows.append(np.full(len(part), at + i))
+                        sides.append(np.full(len(part), 2 if c == own else int(own > c), dtype=np.int32))
+                    if i + 1 == len(bodies) or sum(map(len, keys[-64:])) > 1 << 16 or len(keys) > 1 << 12:
+                        row, key = np.concatenate(rows or [[]]).astype(np.int64), np.concatenate(keys or [[]]).astype(np.uint64)
+                        size = (np.diff(first)[row - at]).astype(np.int32)
+                        yield pa.record_batch([signed(key), b.column(0).take(pa.array(row)), size, b.column(1).take(pa.array(row)), np.concatenate(sides or [[]]).astype(np.int32)], names=["key", "node", "n", "component", "side"])
+                        keys, rows, sides = [], [], []
+
+    return run
+
+
 def _even(texts: Iterator[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole pairs of about ``limit`` bytes, with the first text's index."""
     run, size, at = [], 0, 0
@@ -216,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, n_links (other texts it was found similar to), row_key."""
+    """One row per input row: doc_id, class_id, class_size, n_found (links that were compared, not all there are), row_key."""
     ship(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>, registers binary")
@@ -248,28 +309,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near = store(near, "candidates").join(words("a", "ta"), "a").join(words("b", "tb"), "b")
         return store(near.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, similarity double"), "links")
 
+    def crossing() -> DataFrame:
+        """Pairs between classes, of nodes in larger buckets: all that can reach the threshold."""
+        placed = members.where(F.col("size") > SMALL).select("node", "bucket").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        asked = store(placed.join(mixed, "bucket").select("node", "component").distinct(), "asked")
+        held = store(asked.join(texts, "node"), "asked")
+        seen = spark.sparkContext.broadcast(_frequencies(held, k))
+        keyed = store(held.mapInArrow(_prefixes(k, threshold, seen), "key long, node long, n int, component long, side int"), "prefixes")
+        parts = keyed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("most"))
+        both = keyed.join(parts, "key")  # no pair lies inside the largest class of a key
+        on = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & fit(F.col("l.n"), F.col("r.n")) & ((F.col("l.side") != F.col("r.side")) | (F.col("l.side") == 2))
+        met = both.where("component <> most").alias("l").join(keyed.alias("r"), on)
+        return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
     members = store(sized(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "members")
     rank = store(members.groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
     wanted = spark.sparkContext.broadcast(_bitmap(rank))
     texts = store(rows_.select("text").mapInArrow(_node_texts(k, wanted), "node long, text string").join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
     edges = linked(offered(members.join(rank, "node").withColumn("component", F.col("node"))))
     classes = components(edges)
-    crowded = members.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("bucket").alias("crowded"))
-    own = nodes.select("node", "n", "bands").join(crowded, "node").join(rank, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    finer = own.select("node", "n", "rank", "component", "bands", F.explode("crowded").alias("c")).withColumn("band", F.explode("bands")).where("c <> band").withColumn("bucket", F.xxhash64("c", "band"))
-    picked = [F.max(F.struct(order.alias("o"), "rank", "node", "n")) for order in (F.col("rank"), F.xxhash64("node", "bucket"), F.xxhash64("bucket", "node"))]
-    finer = finer.groupBy("bucket", "component").agg(F.array_distinct(F.transform(F.array(*picked), lambda x: F.struct(x["rank"].alias("rank"), x["node"].alias("node"), x["n"].alias("n")))).alias("m")).select("bucket", "component", F.inline("m"))
-    more = linked(offered(sized(finer)))
+    more = linked(crossing())
     if not more.isEmpty():
         edges = store(edges.unionByName(more).dropDuplicates(["a", "b"]), "links")
         classes = components(edges)
-    degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_found"))
     by = signed_.select("doc_id", "row_key", "node", "n").join(classes, "node", "left").join(degree, "node", "left")
     # a class of its own for each row without words
     by = by.withColumn("key", F.when(F.col("n") == 0, F.concat(F.lit("row"), F.col("row_key").cast("string"))).otherwise(F.coalesce("component", "node").cast("string")))
     name = by.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_key"))).alias("nameless"))
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_id").isNotNull() | (F.col("row_key") == F.col("nameless")))
-    return by.join(name, "key").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "row_key", first.alias("first"))
+    return by.join(name, "key").select("doc_id", "class_id", "class_size", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found"), "row_key", first.alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

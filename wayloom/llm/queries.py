@@ -25,7 +25,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+    return probminhash.near_classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_found")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
