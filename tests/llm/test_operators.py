@@ -351,6 +351,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(d.limit(0), F.col("p")).count() == 0
 
 
+def test_full_license_files(spark):
+    from wayloom.llm.license_texts import FULL
+
+    plain = "the text of a document that you and any other person may read, and to which the terms of this work do not apply " * 9
+    rows = [r for k, t in FULL.items() for r in ((f"{k}/LICENSE", "Copyright (c) 2019 Some Person <some@person.example>\n\n" + t), (f"{k}/src/a.txt", plain))]
+    rows += [("MIT/src/one_line/LICENSE", " ".join(FULL["Apache-2.0"].split())), ("MIT/src/one_line/b", plain), ("other/x", plain)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "p string, text string"), F.col("p")).collect()}
+    for k in FULL:
+        assert (got[f"{k}/LICENSE"].license, got[f"{k}/LICENSE"].is_license_file) == (k, True)
+        assert (got[f"{k}/src/a.txt"].license, got[f"{k}/src/a.txt"].inherited_license, got[f"{k}/src/a.txt"].license_dir) == (None, k, k)
+    assert got["MIT/src/one_line/b"].inherited_license == "Apache-2.0" and got["other/x"].inherited_license is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

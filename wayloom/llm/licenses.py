@@ -3,7 +3,9 @@
 Units are the lines of a text (headers) and the whole text (a licence file). A unit and the
 templates are sparse TF-IDF vectors over words; inverse document frequencies come from the
 templates, and a word outside them has the largest one, so foreign words lower the cosine. The
-best template at ``THRESHOLD`` or more is the unit's licence. A file that is itself a licence
+best template at ``THRESHOLD`` or more is the unit's licence. Whole texts are also compared with the
+licences in full, which have vectors and frequencies of their own: there a word counts 1 + ln(count), so
+that the frequent words of any prose don't decide. A file that is itself a licence
 (its whole text, or a line with at least half its words, matches) licenses its directory, and a
 file without a licence of its own inherits from the nearest ancestor directory: the ancestors
 of the distinct directories are joined on their paths, and the longest match stays.
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.license_texts import FULL
 from wayloom.llm.shared import carry, ship, store
 from wayloom.llm.text import ALNUM, Words, chunks, norm_bytes
 
@@ -43,24 +46,33 @@ TEMPLATES = {
 class Templates:
     """TF-IDF vectors of the templates, one row each, over the words of all of them."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], damped: bool = False):
+        self.damped = damped
         rows = [(name, t) for name in sorted(templates) for t in templates[name]]
         self.names = [n for n, _ in rows]
         w = Words([norm_bytes(t) for _, t in rows], ALNUM)
         self.vocab, term = np.unique(w.hashes(), return_inverse=True)
         tf = np.zeros((len(rows), len(self.vocab)))
         np.add.at(tf, (w.text, term), 1)
+        tf = self.count(tf)
         self.idf = np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1
         self.foreign = np.log(1 + len(rows)) + 1
         self.unit = tf * self.idf
         self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
 
+    def count(self, tf: np.ndarray) -> np.ndarray:
+        return np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) if self.damped else tf
+
+    def terms(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == h, at, -1)
+
     def best(self, term: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Best template and cosine of each of n units; ``term`` is -1 for foreign words, each of which counts alone."""
         known = term >= 0
         pair, tf = np.unique(unit[known] * len(self.vocab) + term[known], return_counts=True)
         row, col = pair // len(self.vocab), pair % len(self.vocab)
-        weight = tf * self.idf[col]
+        weight = self.count(tf) * self.idf[col]
         norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n) + np.bincount(unit[~known], minlength=n) * self.foreign**2)
         best, cosine = np.zeros(n, dtype=np.int64), np.zeros(n)
         for k, t in enumerate(self.unit):
@@ -70,17 +82,16 @@ class Templates:
         return best, cosine
 
 
-def _scan(templates: dict[str, tuple[str, ...]], threshold: float):
+def _scan(templates: dict[str, tuple[str, ...]], full: dict[str, str], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Templates(templates)
+        t, f = Templates(templates), Templates({k: (v,) for k, v in full.items()}, damped=True) if full else None
         for b in batches:
             names = b.schema.names
             lic, sim, whole = [None] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=bool)
             for first, bodies in chunks(norm_bytes(x) for x in b.column(names.index("_text")).to_pylist()):
                 w = Words(bodies, ALNUM)
                 h = w.hashes()
-                at = np.minimum(np.searchsorted(t.vocab, h), len(t.vocab) - 1)
-                term = np.where(t.vocab[at] == h, at, -1)
+                term = t.terms(h)
                 line = np.searchsorted(np.flatnonzero(w.buf == 10), w.start)  # texts end with a line feed too
                 lines, index = np.unique(line, return_inverse=True)
                 # only lines with two words of the templates can reach the threshold
@@ -94,6 +105,10 @@ def _scan(templates: dict[str, tuple[str, ...]], threshold: float):
                 tb, tc = t.best(term, w.text, len(bodies))
                 for k in np.flatnonzero(tc >= threshold):
                     lic[first + k], sim[first + k], whole[first + k] = t.names[tb[k]], tc[k], True
+                if f:
+                    fb, fc = f.best(f.terms(h), w.text, len(bodies))
+                    for k in np.flatnonzero((fc >= threshold) & (fc > sim[first : first + len(bodies)])):
+                        lic[first + k], sim[first + k], whole[first + k] = f.names[fb[k]], fc[k], True
                 for k in np.flatnonzero(cosine >= threshold):
                     d = owner[held[k]]
                     whole[first + d] |= 2 * n_line[held[k]] >= n_text[d]
@@ -111,14 +126,17 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(F.coalesce(path, F.lit("")), "/?[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, path: Column, text_col: str = "text", templates: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``files``, without their text, with path, license, similarity, is_license_file, inherited_license and license_dir."""
+def scan_licenses(files: DataFrame, path: Column, text_col: str = "text", templates: dict | None = None, threshold: float = THRESHOLD, full: dict | None = None) -> DataFrame:
+    """The rows of ``files``, without their text, with path, license, similarity, is_license_file, inherited_license and license_dir.
+
+    Own ``templates`` come without licences in full, unless ``full`` gives them.
+    """
     ship(files.sparkSession)
     rows = carry(files.withColumn("_path", F.coalesce(path.cast("string"), F.lit(""))))
     text, at = f"_c{files.columns.index(text_col)}", f"_c{len(files.columns)}"
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name != text}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", license string, similarity double, is_license_file boolean"
-    found = rows.select(*kinds, F.col(text).cast("string").alias("_text")).mapInArrow(_scan(templates or TEMPLATES, threshold), schema)
+    found = rows.select(*kinds, F.col(text).cast("string").alias("_text")).mapInArrow(_scan(templates or TEMPLATES, (full or {}) if templates else (FULL if full is None else full), threshold), schema)
     found = store(found.withColumn("dir", parent(F.col(at))), "licenses")
     licensed = found.where("is_license_file").groupBy("dir").agg(F.max(F.struct("similarity", F.col("license"))).alias("l")).select(F.col("dir").alias("license_dir"), F.col("l.license").alias("inherited"))
     parts = F.split("dir", "/")
