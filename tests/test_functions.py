@@ -27,6 +27,19 @@ def test_addresses(spark, address):
         assert (a.coord_lat, a.coord_lon) == (21.0278, 105.8342)
 
 
+def test_whole_documents_are_normalized(spark):
+    import re
+
+    import duckdb
+
+    from wayloom import catalog
+
+    sf, table = "/root/testdata/sf0.001", str.maketrans(dict(zip(text.NORM_FROM, text.NORM_TO, strict=True)))
+    want = {i: re.sub(r"^ | +$", "", re.sub(r"[ \t]+", " ", t.translate(table))) if t is not None else None for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
+    got = {r.doc_id: r.norm for r in catalog.QUERIES["normalize_documents"](spark, sf).collect()}
+    assert got == want and max(len(t or "") for t in got.values()) > 1000
+
+
 def test_normalize(spark):
     pairs = {"Hồ Gươm": "ho guom", "Đường Láng": "duong lang", "  A\t\tB ": "a b", "ÇÖß": "ÇÖß", "": ""}
     got = spark.createDataFrame([(k,) for k in pairs], "s string").select("s", text.normalize(F.col("s")).alias("n"), text.normalize(text.normalize(F.col("s"))).alias("twice")).collect()

@@ -221,6 +221,12 @@ def normalize_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize(F.substring("text", 1, 200)).alias("norm"))
 
 
+@query()
+def normalize_documents(spark, sf_dir):
+    """Normalised documents, whole texts."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize(F.col("text")).alias("norm"))
+
+
 _COORD = "'^\\s*([+-]?\\d+\\.?\\d*)\\s*[,\\s]\\s*([+-]?\\d+\\.?\\d*)\\s*$'"
 _ADDR = f"""
 a0 as (select id, regexp_replace(address, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as s from fx_addresses),
