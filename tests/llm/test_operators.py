@@ -62,15 +62,31 @@ def test_exact_dedup(spark):
     assert min(r.keep_id for r in patricia.owners(d, keep="smallest").collect()) == 0
 
 
+def test_exact_dedup_in_small_steps(spark):
+    """Budgets of a few rows: texts leave early, wait in files and spill, and the rows stay the same."""
+    texts = [("Word " * (i % 7) + str(i % 40)) if i % 3 else "the one that a third of all rows hold" for i in range(900)]
+    d = docs(spark, *texts).repartition(5)
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.lower()].append(i)
+    for keep, pick in (("largest", max), ("smallest", min)):
+        want = {i: (pick(g), len(g), i == pick(g)) for g in groups.values() for i in g}
+        for budget in (300, patricia.BUDGET):
+            assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in patricia.exact_dedup(d, keep=keep, budget=budget).collect()} == want
+            kept = patricia.keep_owners(d, keep=keep, budget=budget).collect()
+            assert sorted(r.doc_id for r in kept) == sorted(map(pick, groups.values()))
+            assert all(r.text == texts[r.doc_id] for r in kept)
+
+
 def test_trie_spills_by_subtree():
-    trie, want = patricia.PatriciaTrie(budget=4000), {}
+    trie, want = patricia.PatriciaTrie(lambda a, b: (min(a[0], b[0]), a[1] + b[1]), budget=4000), {}
     rng = np.random.default_rng(1)
     for i in rng.integers(0, 400, 3000).tolist():
         key = hashlib.sha256(str(i).encode()).digest()[:8] + (b"x" * (i % 50)) + str(i).encode()
-        trie.insert(key, i)
-        want[key] = (i, want.get(key, (0, 0))[1] + 1)
+        trie.insert(key, (i, 1))
+        want[key] = (min(i, want.get(key, (i, 0))[0]), want.get(key, (0, 0))[1] + 1)
     assert trie.spilled
-    assert {k: (i, n) for k, i, n in trie.drain()} == want
+    assert dict(trie.drain()) == want
 
 
 def test_decontamination_by_brute_force(spark):
@@ -168,6 +184,21 @@ def test_language_id(spark):
     assert all(m & 1 for m in x.masks(grams.astype(np.uint32))[0].tolist())
 
 
+def test_language_stage_rejects_noise(spark):
+    import random
+
+    import corpus_pipeline
+
+    r, clean = random.Random(5), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHabcdefgh0123456789+/", "0123456789 x", "абвгдежзик ", "#$%&*()_+@!~ z"]
+    junk = ["".join(r.choice(a) for _ in range(r.randrange(40, 900))) for a in alphabets for _ in range(12)]
+    d = clean.unionByName(docs(spark, *junk, None, "", "12 34", lang=None).withColumn("doc_id", -F.col("doc_id") - 1))
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, d, SF).select("doc_id").collect()}
+    wanted = {x.doc_id for x in clean.select("doc_id").collect()}
+    assert len(kept & wanted) >= 0.99 * len(wanted)
+    assert len([i for i in kept if i < 0]) <= 0.1 * len(junk) and not kept & {-len(junk) - k for k in (1, 2, 3)}
+
+
 def test_language_id_held_out(spark):
     out = queries.op10_language_id(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
