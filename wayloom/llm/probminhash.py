@@ -14,13 +14,16 @@ buckets with others, and two by hash), chosen by aggregation, so candidates grow
 to bucket sizes. Classes are connected components by alternating star contraction. Then
 nodes of larger buckets that hold several classes are joined exactly: every pair between classes
 that can reach the threshold shares one of its rarest shingles (a prefix filter by size classes)
-and is offered, without any cap. The largest class of a shingle meets only the others. Pairs whose registers of unit weights (8 bits of each) agree in less than ``AGREE`` of
-all cannot be at the threshold, but for one in 200,000 of those right at it, and are dropped
-before texts are compared. Only texts of nodes that share a bucket are shuffled: a bitmap of
-fixed size, broadcast, lets most others go first. Nothing else is collected.
+and is offered, without any cap. The largest class of a shingle meets only the others. Pairs
+whose registers of unit weights (8 bits of each) agree in less than ``AGREE`` of all cannot be at
+the threshold, but for one in 200,000 of those right at it, and are dropped before texts are
+compared. Only texts of nodes that share a bucket, and rows that may have to go, are shuffled:
+bitmaps of fixed size, broadcast, let most others pass. Keys that hold more than one in a
+thousand rows (a bucket, a hub of links, a node, a class) are answered by a broadcast of at most a
+thousand of them, so none fills a task. Nothing else is collected.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased (A-Z); sets are keyed
-by 64-bit hashes. Defined results: a text of fewer than five words is one shingle of them all;
+by 64-bit hashes, and texts with equal sets by 128 bits. Defined results: a text of fewer than five words is one shingle of them all;
 texts without words (null, empty) form no links and are classes of their own; a class is named
 by its smallest doc_id, rows without an id after all others; an empty table gives no rows.
 """
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.shared import carry, restored, ship, store
+from wayloom.llm.shared import Bitmap, among, carry, restored, ship, spread_join, store
 from wayloom.llm.text import ALNUM, Words, chunks, mix, norm_bytes, release, shingles, signed
 
 K, THRESHOLD = 5, 0.8
@@ -44,8 +47,6 @@ BANDS, ROWS = 24, 5
 SMALL = 8
 #: 4.5 standard deviations of 120 registers below the threshold.
 AGREE = 0.63
-#: Bits of the bitmap of wanted nodes: 8 MB.
-BITMAP = 1 << 26
 #: Counters that order shingles by frequency: 8 MB.
 SKETCH = 1 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -81,10 +82,12 @@ def prob_min_hash(h: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int,
 
 
 def _sets(bodies: list[bytes], k: int):
+    """Sets of a run of texts, where each starts, and 128 bits of each: a node and a check."""
     h, owner, count = weighted_sets(bodies, k)
     first = np.searchsorted(owner, np.arange(len(bodies) + 1))
-    nodes = np.array([int.from_bytes(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], dtype=np.int64)
-    return h, owner, count, first, nodes
+    digests = b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else bytes(16) for a, b in zip(first[:-1], first[1:], strict=True))
+    nodes = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+    return h, owner, count, first, np.ascontiguousarray(nodes[:, 0]), np.ascontiguousarray(nodes[:, 1])
 
 
 def _bands(h: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,33 +121,22 @@ def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, bodies in chunks(norm_bytes(t) for t in b.column(2).to_pylist()):
-                h, owner, count, first, nodes = _sets(bodies, k)
+                h, owner, count, first, nodes, check = _sets(bodies, k)
                 sig, keys, own = _bands(h, owner, count, len(bodies), bands, rows)
                 offsets = np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32)
-                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys[own]))), pa.array([r.tobytes() for r in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["doc_id", "row_key", "node", "n", "bands", "registers"])
+                yield pa.record_batch([b.column(0).slice(at, len(bodies)), b.column(1).slice(at, len(bodies)), nodes, check, np.diff(first).astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys[own]))), pa.array([r.tobytes() for r in (sig >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["doc_id", "row_key", "node", "check", "n", "bands", "registers"])
 
     return run
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """Which of BITMAP positions some node has; fuller means more texts pass, never fewer."""
-    at = F.col("node").bitwiseAND(F.lit(BITMAP - 1))
-    words = nodes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast((node & {BITMAP - 1}) & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits"))
-    out = np.zeros(BITMAP // 64, dtype=np.int64)
-    for r in words.toLocalIterator():  # at most BITMAP / 64 rows
-        out[r[0]] = r[1]
-    return out.view(np.uint64)
-
-
 def _node_texts(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for b in batches:
             for at, bodies in chunks(norm_bytes(t) for t in b.column(0).to_pylist()):
-                *_, first, nodes = _sets(bodies, k)
-                i = nodes & (BITMAP - 1)
-                some = np.flatnonzero((np.diff(first) > 0) & ((bits[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0))
-                yield pa.record_batch([nodes[some], b.column(0).slice(at, len(bodies)).take(pa.array(some))], names=["node", "text"])
+                *_, first, nodes, check = _sets(bodies, k)
+                some = np.flatnonzero((np.diff(first) > 0) & among(bits, nodes))
+                yield pa.record_batch([nodes[some], check[some], b.column(0).slice(at, len(bodies)).take(pa.array(some))], names=["node", "check", "text"])
 
     return run
 
@@ -165,7 +157,7 @@ def _verify(k: int, threshold: float):
             similarity = np.zeros(b.num_rows)
             texts = (x for pair in zip(b.column(2), b.column(3), strict=True) for x in (norm_bytes(t.as_py()) for t in pair))
             for at, bodies in _even(texts):
-                h, _, _, first, _ = _sets(bodies, k)
+                h, _, _, first, *_ = _sets(bodies, k)
                 for j in range(0, len(bodies), 2):
                     x, y = h[first[j] : first[j + 1]], h[first[j + 1] : first[j + 2]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -191,6 +183,7 @@ def _frequencies(held: DataFrame, k: int) -> np.ndarray:
     out = np.zeros(SKETCH, dtype=np.int64)
     for r in held.select("text").mapInArrow(_counts(k), "at long, n long").groupBy("at").agg(F.sum("n")).toLocalIterator():  # at most SKETCH rows
         out[r[0]] = r[1]
+    release()
     return out
 
 
@@ -214,7 +207,7 @@ def _prefixes(k: int, threshold: float, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, bodies in chunks(norm_bytes(t) for t in b.column(2).to_pylist()):
-                h, owner, _, first, _ = _sets(bodies, k)
+                h, owner, _, first, *_ = _sets(bodies, k)
                 h = h[np.lexsort((h, seen.value[h & np.uint64(SKETCH - 1)], owner))]
                 keys, rows, sides = [], [], []
                 for i in range(len(bodies)):
@@ -257,10 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction; every round is written to the shared folder.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         ends = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = ends.join(least, "a")
+        least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        linked = spread_join(ends, least, "a", "c", 2 * n if large else n)  # a hub's edges go to many tasks
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
@@ -268,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     was = mark(e)
     while True:
-        e = store(star(star(e, True), False), "edges")
+        e = store(star(star(e, True, was[0]), False, was[0]), "edges")
         now = mark(e)
         if now == was:
             break
@@ -279,27 +272,41 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_found (links that were compared, not all there are), row_key."""
     ship(docs.sparkSession)
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, n int, bands array<long>, registers binary")
-    signed_, spark = store(signed_, "signatures"), docs.sparkSession
-    nodes = store(signed_.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.max("bands").alias("bands"), F.first("registers").alias("registers")), "nodes")
+    rows_, spark = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), docs.sparkSession
+    signed_ = rows_.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_sign(k, bands, rows), "doc_id long, row_key long, node long, check long, n int, bands array<long>, registers binary")
+    signed_ = store(signed_, "signatures")
+
+    def as_nodes(df: DataFrame) -> DataFrame:
+        return df.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.max("bands").alias("bands"), F.first("registers").alias("registers"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+
+    nodes, apart = store(as_nodes(signed_), "nodes"), None
+    if not nodes.where("lo <> hi").isEmpty():  # sets that differ under the same 64 bits: their nodes take in the check
+        clash = store(nodes.where("lo <> hi").select("node", F.lit(True).alias("clash")), "clashes")
+        apart = lambda df: df.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clash")
+        signed_ = store(apart(signed_), "signatures")
+        nodes = store(as_nodes(signed_), "nodes")
+    n_rows = signed_.count()
+    n_nodes, n_members = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
     fit = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)  # noqa: E731  no similarity above the ratio of the sizes
 
     def sized(buckets: DataFrame) -> DataFrame:
         """(node, n, bucket) with the size of each bucket of two nodes or more."""
-        return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
+        sizes = buckets.groupBy("bucket").agg(F.count("*").alias("w")).where("w > 1").select("bucket", "w", F.col("w").alias("size"))
+        return spread_join(buckets, sizes, "bucket", "w", n_members)
 
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & fit(F.col("l.n"), F.col("r.n"))
-        both = left.alias("l").join(right.alias("r"), on)
-        return both.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     def offered(members: DataFrame) -> DataFrame:
-        """Pairs between components: all of a small bucket, those with three leaders of a larger one."""
-        small, large = (members.where(c).select("bucket", "node", "n", "rank", "component") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
-        chosen = [F.max(F.struct(order.alias("o"), "node", "n", "component")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
-        leaders = large.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["component"].alias("component")))).alias("l")).select("bucket", F.inline("l"))
-        return pairs(small, small).unionByName(pairs(leaders, large)).distinct()
+        """Pairs of nodes: all of a small bucket, those with three leaders of a larger one."""
+        small, large = (members.where(c).select("bucket", "node", "n", "rank") for c in (f"size <= {SMALL}", f"size > {SMALL}"))
+        on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")) & fit(F.col("l.n"), F.col("r.n"))
+        within = small.alias("l").join(small.alias("r"), on).select(*ordered("l.node", "r.node"))
+        chosen = [F.max(F.struct(order.alias("o"), "node", "n")) for order in (F.col("rank"), F.xxhash64("node", F.lit(0)), F.xxhash64("node", F.lit(1)))]
+        leader = F.array_distinct(F.transform(F.array(*chosen), lambda x: F.struct(x["node"].alias("leader"), x["n"].alias("m"))))
+        leaders = large.groupBy("bucket").agg(leader.alias("leaders"), F.count("*").alias("w"))
+        led = spread_join(large, leaders, "bucket", "w", n_members).select("node", "n", F.inline("leaders")).where((F.col("node") != F.col("leader")) & fit(F.col("n"), F.col("m")))
+        return within.unionByName(led.select(*ordered("node", "leader"))).distinct()
 
     register = lambda c, r: nodes.select(F.col("node").alias(c), F.col("registers").alias(r))
     words = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
@@ -312,41 +319,51 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def crossing() -> DataFrame:
         """Pairs between classes, of nodes in larger buckets: all that can reach the threshold."""
         placed = members.where(F.col("size") > SMALL).select("node", "bucket").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        asked = store(placed.join(mixed, "bucket").select("node", "component").distinct(), "asked")
+        placed = store(placed, "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("bucket", "w")
+        asked = store(spread_join(placed, mixed, "bucket", "w", n_members).select("node", "component").distinct(), "asked")
         held = store(asked.join(texts, "node"), "asked")
         seen = spark.sparkContext.broadcast(_frequencies(held, k))
         keyed = store(held.mapInArrow(_prefixes(k, threshold, seen), "key long, node long, n int, component long, side int"), "prefixes")
-        parts = keyed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("most"))
-        both = keyed.join(parts, "key")  # no pair lies inside the largest class of a key
+        parts = keyed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("w"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1").select("key", "w", F.col("most.component").alias("most"))
+        both = spread_join(keyed, parts, "key", "w", keyed.count())  # no pair lies inside the largest class of a key
         on = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & fit(F.col("l.n"), F.col("r.n")) & ((F.col("l.side") != F.col("r.side")) | (F.col("l.side") == 2))
         met = both.where("component <> most").alias("l").join(keyed.alias("r"), on)
-        return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+        return met.select(*ordered("l.node", "r.node")).distinct()
 
     members = store(sized(nodes.select("node", "n", F.explode("bands").alias("bucket"))), "members")
     rank = store(members.groupBy("node").agg(F.sum("size").alias("rank")), "ranks")
-    wanted = spark.sparkContext.broadcast(_bitmap(rank))
-    texts = store(rows_.select("text").mapInArrow(_node_texts(k, wanted), "node long, text string").join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    edges = linked(offered(members.join(rank, "node").withColumn("component", F.col("node"))))
+    wanted = Bitmap(rank, "node").held
+    texts = rows_.select("text").mapInArrow(_node_texts(k, wanted), "node long, check long, text string")
+    texts = store((apart(texts) if apart else texts).join(rank, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    edges = linked(offered(members.join(rank, "node")))
     classes = components(edges)
     more = linked(crossing())
     if not more.isEmpty():
         edges = store(edges.unionByName(more).dropDuplicates(["a", "b"]), "links")
         classes = components(edges)
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_found"))
-    by = signed_.select("doc_id", "row_key", "node", "n").join(classes, "node", "left").join(degree, "node", "left")
-    # a class of its own for each row without words
-    by = by.withColumn("key", F.when(F.col("n") == 0, F.concat(F.lit("row"), F.col("row_key").cast("string"))).otherwise(F.coalesce("component", "node").cast("string")))
-    name = by.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_key"))).alias("nameless"))
-    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_id").isNotNull() | (F.col("row_key") == F.col("nameless")))
-    return by.join(name, "key").select("doc_id", "class_id", "class_size", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found"), "row_key", first.alias("first"))
+    # rows are gathered by node and nodes by class, so a class of a third of all rows is few numbers
+    per = signed_.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_key"))).alias("nameless"))
+    per = store(per.join(classes, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    named = per.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.min("nameless").alias("unnamed"), F.count("*").alias("w"))
+    told = spread_join(per.select("node", "component", "rows", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found")), named, "component", "w", n_nodes)
+    worded = spread_join(signed_.where("n > 0").select("doc_id", "row_key", "node"), told.drop("component"), "node", "rows", n_rows)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_id").isNotNull() | (F.col("row_key") == F.col("unnamed")))
+    none = signed_.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_found"), "row_key", F.lit(True).alias("first"))
+    return worded.select("doc_id", "class_id", "class_size", "n_found", "row_key", first.alias("first")).unionByName(none)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each class, with their own columns."""
     marks = store(near_classes(docs, id_col, text_col), "classes")
-    keyed = carry(docs).withColumn("row_key", F.xxhash64(F.col(f"_c{docs.columns.index(id_col)}").cast("long"), F.col(f"_c{docs.columns.index(text_col)}").cast("string")))
-    kept = keyed.join(marks.where(~F.col("first")).select("row_key").distinct(), "row_key", "left_anti")
-    if not marks.where("first").groupBy("row_key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["row_key"])
+    at, text = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
+    keyed = carry(docs).withColumns({"doc_id": at.cast("long"), "row_key": F.xxhash64(at.cast("long"), text.cast("string"))})
+    gone = marks.where(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    # only rows that a bitmap of fixed size doesn't clear are shuffled with their texts
+    asked = Bitmap(gone, "gone_key").has(F.col("row_key"))
+    same = (F.col("row_key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
+    kept = keyed.where(~asked).unionByName(keyed.where(asked).join(gone, same, "left_anti"))
+    if not marks.where("first").groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "row_key"])
     return restored(kept, docs)
