@@ -10,7 +10,8 @@ A text's score per language is its popcount over all grams, corrected for the fi
 false-positive rate; the largest decides, and ``score`` is its share of the sum.
 
 Defined results: null or empty texts and texts without a letter are ``und`` with score 0;
-ties go to the first language by name; without training rows every text is ``und``.
+ties go to the first language by name; without training rows every text is ``und``; repeated rows
+count once each; very long texts are a step of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ N = 4
 SHARE = 2e-5
 #: Hash functions, and slots for each gram of the fullest filter.
 K, ROOM = 4, 8
+#: Share of known n-grams below which a text is in no language: noise has under 0.03, prose with many numbers 0.2 and more.
+LEAST_KNOWN = 0.15
 #: Languages in one 64-bit slice.
 SLICE = 64
 
@@ -139,14 +142,14 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", share
 
 
 def predict(text: Column, filters: Filters, spark) -> Column:
-    """struct<lang_pred, score, known>: known is the share of a text's grams in the chosen filter."""
+    """struct<lang_pred, score, known, grams>: known is the share of a text's grams in the chosen filter."""
     ship(spark)
     held = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double, known double")
+    @F.pandas_udf("lang_pred string, score double, known double, grams long")
     def udf(texts: pd.Series) -> pd.DataFrame:
         f = held.value
-        lang, score, known = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
+        lang, score, known, grams = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         if f.langs:
             letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
             for first, run in chunks((_body(t) for t in texts), 1 << 20):
@@ -156,7 +159,19 @@ def predict(text: Column, filters: Filters, spark) -> Column:
                 top, total = c[np.arange(len(run)), best], c.sum(axis=1)
                 lang[at] = np.where(letters[at], np.array(f.langs, dtype=object)[best], "und")
                 score[at] = np.where(letters[at] & (total > 0), top / np.maximum(total, 1e-9), 0)
-                known[at] = np.where(letters[at], top / np.maximum(1, np.bincount(text, minlength=len(run))), 0)
-        return pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0, 1), "known": known})
+                grams[at] = np.bincount(text, minlength=len(run))
+                known[at] = np.where(letters[at], top / np.maximum(1, grams[at]), 0)
+        return pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0, 1), "known": np.clip(known, 0, 1), "grams": grams})
 
     return udf(text.cast("string"))
+
+
+def is_language(p: Column, least: float = LEAST_KNOWN, z: float = 1.64) -> Column:
+    """Whether a result of :func:`predict` is a text in a language.
+
+    It isn't if it has no letter, or if the share of its n-grams that the best language knows is below
+    ``least`` even at the upper end of Wilson's interval: of a short text more has to be foreign.
+    """
+    n, known = F.greatest(p["grams"], F.lit(1)).cast("double"), p["known"]
+    upper = (known + z * z / (2 * n) + z * F.sqrt(known * (1 - known) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p["lang_pred"] != "und") & (upper >= least)
