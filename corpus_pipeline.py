@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 from wayloom.llm import decontaminate, langid, packing, patricia, probminhash
 from wayloom.llm.shared import carry, crc_bucket, restored, store
 
-#: A text is rejected where less than this share of its n-grams is known in the language that fits best.
-MIN_KNOWN = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no language: null, empty, without a letter, or hardly any known n-gram."""
+    """Rejects texts of no language: null, empty, without a letter, or of n-grams that no language knows."""
     filters = langid.train(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
     text = f"_c{docs.columns.index('text')}"
     marked = carry(docs).withColumn("p", langid.predict(F.col(text), filters, spark))
-    return restored(marked.where((F.col("p.lang_pred") != "und") & (F.col("p.known") >= MIN_KNOWN)), docs)
+    return restored(marked.where(langid.is_language(F.col("p"))), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
