@@ -56,15 +56,51 @@ def test_paths_are_shortest(spark, edges, mode, monkeypatch):
 
 def test_hierarchy_keeps_distances(spark, edges):
     rows = [(r.src, r.dst, r.seconds) for r in graph.cheapest(edges, 4).collect()]
-    ranks, full = routing.contract(edges, 4, 2)
+    ranks, full = routing.contract(edges, 4, 2, None)
     pairs = spark.createDataFrame([(s, t) for s in (3, 8) for t in (9, 60, 121, 150)], "source long, target long")
     for r in routing.hierarchy_distance(ranks, full, pairs).collect():
         assert r.seconds == pytest.approx(dijkstra(rows, r.source)[r.target], rel=1e-9)
-    short = full.where("mid_node is not null").first()
-    if short:
-        path = routing.unpack(spark.createDataFrame([(1, [short.src, short.dst])], "req_id long, path_nodes array<long>"), full).first().path_nodes
-        own = {(u, v): w for u, v, w in rows}
-        assert sum(own[p] for p in zip(path, path[1:], strict=False)) == pytest.approx(short.seconds, rel=1e-9)
+    short = full.where("mid_node is not null").limit(5).collect()
+    assert short
+    own = {(u, v): w for u, v, w in rows}
+    paths = routing.unpack(spark.createDataFrame([(i, [x.src, x.dst]) for i, x in enumerate(short)], "req_id long, path_nodes array<long>"), full)
+    for r in paths.collect():
+        assert sum(own[p] for p in zip(r.path_nodes, r.path_nodes[1:], strict=False)) == pytest.approx(short[r.req_id].seconds, rel=1e-9)
+
+
+def test_streets_are_contracted_to_the_end(spark, monkeypatch):
+    """A grid of streets with one-way and missing roads: most nodes leave the core, and routes stay the shortest."""
+    import random
+
+    r, n = random.Random(3), 10
+    rows = {}
+    for y in range(n):
+        for x in range(n):
+            for b in ((y, x + 1), (y + 1, x)):
+                if b[0] < n and b[1] < n and r.random() < 0.9:
+                    u, v, w = y * n + x, b[0] * n + b[1], float(r.randrange(1, 90))
+                    rows[u, v] = w
+                    if r.random() < 0.8:
+                        rows[v, u] = w + r.randrange(3)
+    e = spark.createDataFrame([(u, v, w) for (u, v), w in rows.items()], "src long, dst long, seconds double")
+    ranks, full = routing.contract_cheapest(e)
+    assert ranks.where(F.col("rank") == ranks.agg(F.max("rank")).first()[0]).count() < 0.2 * n * n
+    assert not full.where("mid_node is not null").isEmpty()
+    asked = [(i, r.randrange(n * n), r.randrange(n * n)) for i in range(60)] + [(60, None, 3), (61, 3, 10**9)]
+    pairs = spark.createDataFrame(asked, "req_id long, source long, target long")
+    held = {x.req_id: x for x in routing.paths(e, pairs, (ranks, full)).collect()}
+    monkeypatch.setattr(routing, "EDGE_BOUND", 0)
+    some = pairs.where("req_id < 6 or req_id > 59")
+    joined = {x.req_id: x for x in routing.paths(e, some, (ranks, full)).collect()}
+    best = {s: dijkstra([(u, v, w) for (u, v), w in rows.items()], s) for _, s, _ in asked if s is not None}
+    assert len(held) == 62 and len(joined) == 8
+    for found in (held, joined):
+        for x in found.values():
+            want = best.get(x.source, {}).get(x.target)
+            assert x.valid == (want is not None)
+            if x.valid:
+                assert x.seconds == pytest.approx(want) and (x.path_nodes[0], x.path_nodes[-1]) == (x.source, x.target)
+                assert sum(rows[p] for p in zip(x.path_nodes, x.path_nodes[1:], strict=False)) == pytest.approx(want)
 
 
 def test_snap_is_the_nearest(spark, edges):
@@ -83,6 +119,27 @@ def test_snap_is_the_nearest(spark, edges):
     assert spatial.snap(points, edges.limit(0)).count() == 0
 
 
+def test_snap_far_points_and_stored_tiles(spark, edges, tmp_path):
+    """Far, clustered and missing positions find the nearest of all segments, at any tile size, and from stored tiles."""
+    own = [(0, 48.0, 2.0), (1, 21.0, 105.8), (2, -33.0, -70.0), (3, 21.0001, 105.8001), (4, 16.0, 111.0), (5, 30.0, 105.9), (6, None, 2.0)]
+    points = spark.createDataFrame(own, "point_id long, lat double, lon double")
+    rows = edges.select("lat_src", "lon_src", "lat_dst", "lon_dst").distinct().collect()
+    want = {}
+    for i, lat, lon in own[:-1]:
+        best = math.inf
+        for a, b, c, d in rows:
+            size = (c - a) ** 2 + (d - b) ** 2
+            t = 0.0 if size < 1e-18 else max(0.0, min(1.0, ((lat - a) * (c - a) + (lon - b) * (d - b)) / size))
+            y, x = math.radians(a + t * (c - a) - lat), math.radians(b + t * (d - b) - lon)
+            h = math.sin(y / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(a + t * (c - a))) * math.sin(x / 2) ** 2
+            best = min(best, 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h)))
+        want[i] = pytest.approx(best, abs=2e-3)
+    spatial.snap_index(edges).write.parquet(str(tmp_path / "tiles"))
+    index = spark.read.parquet(str(tmp_path / "tiles"))
+    for got in (spatial.snap(points, edges), spatial.snap(points, edges, 0.02), spatial.snap(points, None, index=index)):
+        assert {r.point_id: r.dist_m for r in got.collect()} == want
+
+
 def test_bm25_equals_sqlite(spark):
     places = catalog._places(spark, SF)
     db = sqlite3.connect(":memory:")

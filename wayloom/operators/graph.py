@@ -66,8 +66,9 @@ def running_offset(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     from wayloom.sources.tables import cut
 
     parts = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
+    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     return parts.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
 
@@ -79,19 +80,29 @@ def active_nodes(edges: DataFrame) -> DataFrame:
     return ends.select("node", F.explode(F.filter(modes, lambda m: F.col("mode").bitwiseAND(m["bit"]) != 0)).alias("m")).groupBy(F.col("m.name").alias("mode")).agg(F.count_distinct("node").alias("active_nodes"))
 
 
-def shortcut_candidates(edges: DataFrame, mode: int) -> DataFrame:
-    """For each node, paths u -> via -> w of two edges with u <> w: cheapest cost of each."""
-    e = cheapest(edges, mode)
+def shortcut_candidates(edges: DataFrame, mode: int | None, vias: DataFrame | None = None) -> DataFrame:
+    """For each node (or those of ``vias``), paths u -> via -> w of two edges with u <> w: cheapest cost of each.
+
+    ``mode`` None: ``edges`` are the cheapest ones already.
+    """
+    e = edges if mode is None else cheapest(edges, mode)
     i, o = e.select(F.col("src").alias("u"), F.col("dst").alias("via"), F.col("seconds").alias("s1")), e.select(F.col("src").alias("via"), F.col("dst").alias("w"), F.col("seconds").alias("s2"))
+    if vias is not None:
+        i = i.join(vias, "via", "left_semi")
     return i.join(o, "via").where("u <> w").select("via", "u", "w", (F.col("s1") + F.col("s2")).alias("seconds"))
 
 
-def needed_shortcuts(edges: DataFrame, mode: int) -> DataFrame:
+def needed_shortcuts(edges: DataFrame, mode: int | None, vias: DataFrame | None = None) -> DataFrame:
     """Candidates without a witness of one or two other edges that is as cheap; a missed witness costs a shortcut, never a distance."""
-    e = cheapest(edges, mode)
-    c = shortcut_candidates(edges, mode)
+    e = edges if mode is None else cheapest(edges, mode)
+    c = shortcut_candidates(edges, mode, vias)
     direct = e.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("seconds").alias("direct"))
-    best = c.groupBy("u", "w").agg(F.array_sort(F.collect_set(F.struct("seconds", "via"))).alias("two"))
+    two = c
+    if vias is not None:  # witnesses may go through any node
+        ends = c.select("u", "w").distinct()
+        there = ends.join(e.select(F.col("src").alias("u"), F.col("dst").alias("via"), F.col("seconds").alias("s1")), "u").where("via <> w")
+        two = there.join(e.select(F.col("src").alias("via"), F.col("dst").alias("w"), F.col("seconds").alias("s2")), ["via", "w"]).select("via", "u", "w", (F.col("s1") + F.col("s2")).alias("seconds"))
+    best = two.groupBy("u", "w").agg(F.array_sort(F.collect_set(F.struct("seconds", "via"))).alias("two"))
     best = best.select("u", "w", F.slice("two", 1, 2).alias("two"))
     other = F.filter("two", lambda t: (t["via"] != F.col("via")) & (t["seconds"] <= F.col("seconds")))
     return c.join(direct, ["u", "w"], "left").join(best, ["u", "w"]).where((F.col("direct").isNull() | (F.col("direct") > F.col("seconds"))) & (F.size(other) == 0)).select("via", "u", "w", "seconds")

@@ -1,17 +1,23 @@
 """Exact shortest paths.
 
-Two strategies give the same distances. Where the edges of a mode are at most ``EDGE_BOUND``,
-they are counted, broadcast as adjacency arrays, and every origin is one group that settles its
-targets with a heap. Beyond that bound, relaxation runs as joins: each round joins only the
-nodes improved in the last round to the edges and stops when none improves.
+Routes go through a hierarchy: contraction rounds are joins, and what they leave is a core. Where
+its edges are at most ``EDGE_BOUND``, they are counted and broadcast as arrays, and every request
+climbs from both ends and crosses the core from both sides, stopping as soon as no better
+meeting is possible; requests are dealt evenly over tasks. Beyond that bound the same search
+runs as joins over the nodes on the way up only. Shortcuts are unpacked in both cases.
+
+Distances from an origin to all nodes are a heap over arrays, or relaxation as joins: each round
+joins only the nodes improved in the last round to the edges and stops when none improves.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +25,8 @@ from wayloom.functions import geo
 from wayloom.operators.graph import cheapest, needed_shortcuts
 from wayloom.sources.tables import cut, ship
 
-#: Edges that may be broadcast: 24 bytes each.
-EDGE_BOUND = 4_000_000
-#: Relative tolerance between two sums of the same seconds.
-TOLERANCE = 1e-9
+#: Edges that may be broadcast: 32 bytes each in a hierarchy, so 256 MB. A city of 7 million edges fits.
+EDGE_BOUND = 8_000_000
 
 
 class Network:
@@ -63,21 +67,22 @@ class Network:
 def _held(edges: DataFrame):
     """A broadcast network, or None where there are too many edges."""
     ship(edges.sparkSession)
-    n = edges.limit(EDGE_BOUND + 1).count()
-    if n > EDGE_BOUND:
+    if edges.limit(EDGE_BOUND + 1).count() > EDGE_BOUND:
         return None
-    t = edges.select("src", "dst", "seconds").toPandas()
-    return edges.sparkSession.sparkContext.broadcast(Network(t.src.to_numpy(np.int64), t.dst.to_numpy(np.int64), t.seconds.to_numpy(float)))
+    t = edges.select("src", "dst", "seconds").toArrow()
+    return edges.sparkSession.sparkContext.broadcast(Network(*(t.column(c).to_numpy() for c in ("src", "dst", "seconds"))))
 
 
 def relax(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, seconds by joins to the fixpoint; ``sources`` has source, ``edges`` src, dst, seconds."""
-    known = cut(sources.select(F.col("source").cast("long"), F.col("source").cast("long").alias("node"), F.lit(0.0).alias("seconds"), F.lit(True).alias("fresh")).distinct())
+    """source, node, seconds and the node before, by joins to the fixpoint; ``sources`` has source, ``edges`` src, dst, seconds."""
+    start = F.col("source").cast("long")
+    known = cut(sources.where("source is not null").select(start.alias("source"), start.alias("node"), F.lit(0.0).alias("seconds"), F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")).distinct())
+    out = edges.select(F.col("src").alias("node"), "dst", F.col("seconds").alias("w"))
     while True:
-        offers = known.where("fresh").join(edges.select(F.col("src").alias("node"), "dst", F.col("seconds").alias("w")), "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("seconds") + F.col("w")).alias("offer"))
+        offers = known.where("fresh").join(out, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("seconds") + F.col("w")).alias("seconds"), F.col("node").alias("before"))).alias("o"))
         merged = known.drop("fresh").join(offers, ["source", "node"], "full_outer")
-        better = F.col("seconds").isNull() | (F.col("offer") < F.col("seconds"))
-        known = cut(merged.select("source", "node", F.least("seconds", "offer").alias("seconds"), (better & F.col("offer").isNotNull()).alias("fresh")))
+        better = F.col("o").isNotNull() & (F.col("seconds").isNull() | (F.col("o.seconds") < F.col("seconds")))
+        known = cut(merged.select("source", "node", F.when(better, F.col("o.seconds")).otherwise(F.col("seconds")).alias("seconds"), F.when(better, F.col("o.before")).otherwise(F.col("before")).alias("before"), better.alias("fresh")))
         if known.where("fresh").isEmpty():
             return known.drop("fresh")
 
@@ -87,7 +92,7 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     edges = cut(edges)
     held = _held(edges)
     if held is None:
-        return relax(edges, sources)
+        return relax(edges, sources).drop("before")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         net, source = held.value, int(pdf["source"].iloc[0])
@@ -99,61 +104,201 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select(F.col("source").cast("long")).distinct().groupBy("source").applyInPandas(run, "source long, node long, seconds double")
 
 
-def paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+class Side:
+    """One direction of a search: all nodes on the way up from an origin, then the core, node by node."""
+
+    __slots__ = ("before", "best", "done", "graph", "heap")
+
+    def __init__(self, graph: Upward, core: np.ndarray, origin: int):
+        self.graph, self.best, self.before, self.done, self.heap = graph, {origin: 0.0}, {}, set(), []
+        climb = [(0.0, origin)]
+        while climb:
+            d, u = heapq.heappop(climb)
+            if d > self.best[u]:
+                continue
+            if core[u]:
+                self.heap.append((d, u))
+                continue
+            for v, w in self.graph.out(u):
+                if d + w < self.best.get(v, np.inf):
+                    self.best[v], self.before[v] = d + w, u
+                    heapq.heappush(climb, (d + w, v))
+        heapq.heapify(self.heap)
+
+    def top(self) -> float:
+        """The distance at which the search of the core goes on."""
+        heap = self.heap
+        while heap and (heap[0][1] in self.done or heap[0][0] > self.best[heap[0][1]]):
+            heapq.heappop(heap)
+        return heap[0][0] if heap else np.inf
+
+    def step(self, other: Side, least: float, meet: int | None) -> tuple[float, int | None]:
+        """Settles one node of the core; the best sum of both sides so far and where they meet."""
+        d, u = heapq.heappop(self.heap)
+        self.done.add(u)
+        best, before, heap, far = self.best, self.before, self.heap, other.best
+        for v, w in self.graph.out(u):
+            n = d + w
+            if n < best.get(v, np.inf):
+                best[v], before[v] = n, u
+                heapq.heappush(heap, (n, v))
+                if v in far and n + far[v] < least:
+                    least, meet = n + far[v], v
+        return least, meet
+
+    def path(self, node: int) -> list[int]:
+        """From a node back to the origin."""
+        out = [node]
+        while out[-1] in self.before:
+            out.append(self.before[out[-1]])
+        return out
+
+
+class Upward:
+    """Adjacency arrays of the edges that lead from each node to higher ranks or, in the core, to the core."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, seconds: np.ndarray, mid: np.ndarray):
+        order = np.lexsort((dst, src))
+        self.dst, self.seconds, self.mid = dst[order].astype(np.int32), seconds[order], mid[order].astype(np.int32)
+        self.first = np.searchsorted(src[order], np.arange(n + 1))
+
+    def out(self, u: int) -> Iterator[tuple[int, float]]:
+        a, b = self.first[u], self.first[u + 1]
+        return zip(self.dst[a:b].tolist(), self.seconds[a:b].tolist(), strict=True)
+
+    def middle(self, u: int, v: int) -> int | None:
+        """The node that an edge of the graph goes through, -1 for a road; None if there is no such edge."""
+        a, b = self.first[u], self.first[u + 1]
+        k = a + int(np.searchsorted(self.dst[a:b], v))
+        return int(self.mid[k]) if k < b and self.dst[k] == v else None
+
+
+class Hierarchy:
+    """A contracted network for exact routes: up from both ends, both sides through the core, stop as soon as they can't improve."""
+
+    def __init__(self, node: np.ndarray, rank: np.ndarray, src: np.ndarray, dst: np.ndarray, seconds: np.ndarray, mid: np.ndarray):
+        order = np.argsort(node)
+        self.ids, rank = node[order], rank[order]
+        at = lambda x: np.searchsorted(self.ids, x)
+        s, d, m = at(src), at(dst), np.where(mid < 0, -1, at(mid))
+        self.core = rank == rank.max() if len(rank) else np.zeros(0, dtype=bool)
+        up, down = (rank[d] > rank[s]) | (self.core[s] & self.core[d]), (rank[s] > rank[d]) | (self.core[s] & self.core[d])
+        n = len(self.ids)
+        self.ahead = Upward(n, s[up], d[up], seconds[up], m[up])
+        self.behind = Upward(n, d[down], s[down], seconds[down], m[down])
+
+    def index(self, node: int | None) -> int | None:
+        if node is None:
+            return None
+        i = int(np.searchsorted(self.ids, node))
+        return i if i < len(self.ids) and self.ids[i] == node else None
+
+    def route(self, start: Side, t: int) -> tuple[float, list[int]] | None:
+        """Seconds and nodes of the shortest route; ``start`` is searched further only as far as needed and can serve other ends."""
+        end = Side(self.behind, self.core, t)
+        least, meet = np.inf, None
+        for v in end.best if len(end.best) < len(start.best) else start.best:
+            if v in start.best and v in end.best and start.best[v] + end.best[v] < least:
+                least, meet = start.best[v] + end.best[v], v
+        while True:
+            a, b = start.top(), end.top()
+            if a + b >= least:
+                break
+            least, meet = start.step(end, least, meet) if a <= b else end.step(start, least, meet)
+        if meet is None:
+            return None
+        return least, self.unpacked(start.path(meet)[::-1] + end.path(meet)[1:])
+
+    def unpacked(self, path: list[int]) -> list[int]:
+        """Shortcuts replaced by their two halves until every step is a road."""
+        out, todo = path[:1], list(zip(path[:-1], path[1:], strict=True))[::-1]
+        while todo:
+            u, v = todo.pop()
+            mid = self.ahead.middle(u, v)
+            if mid is None:
+                mid = self.behind.middle(v, u)
+            if mid < 0:
+                out.append(v)
+            else:
+                todo += [(mid, v), (u, mid)]
+        return out
+
+
+SCHEMA = "req_id long, source long, target long, valid boolean, seconds double, path_nodes array<long>"
+
+
+def _search(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, last, start = held.value, None, None
+        for b in batches:
+            rows = []
+            for req, source, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s, t = net.index(source), net.index(target)
+                found = None
+                if s is not None and t is not None:
+                    if s != last:  # requests come in order of their sources
+                        last, start = s, Side(net.ahead, net.core, s)
+                    found = net.route(start, t)
+                rows.append((req, source, target, found is not None, found and found[0], found and net.ids[found[1]].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, _KINDS, strict=True)], names=["req_id", "source", "target", "valid", "seconds", "path_nodes"])
+
+    return run
+
+
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()))
+
+
+def paths(edges: DataFrame, pairs: DataFrame, hierarchy: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """req_id, source, target, valid, seconds and path_nodes of each request (req_id, source, target).
 
-    A request whose ends are the same node is valid with no length; one that has no path, or an
-    unknown end, isn't valid.
+    The network is contracted first, unless ``hierarchy`` gives (ranks, edges) of :func:`contract`. A request
+    whose ends are the same node is valid with no length; one that has no path, or an unknown or null end,
+    isn't valid. Of routes of equal length any may be given.
     """
-    edges = cut(edges)
-    held = _held(edges)
+    ranks, full = hierarchy or contract_cheapest(edges)
     pairs = pairs.select("req_id", F.col("source").cast("long"), F.col("target").cast("long"))
-    if held is None:
-        return _walked(edges, cut(pairs))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = held.value
-        s = net.index(int(pdf["source"].iloc[0])) if pd.notna(pdf["source"].iloc[0]) else None
-        ends = [net.index(int(t)) if pd.notna(t) else None for t in pdf["target"]]
-        found, before = net.settle(s, {t for t in ends if t is not None}) if s is not None else ({}, {})
-        rows = []
-        for (_, r), t in zip(pdf.iterrows(), ends, strict=True):
-            path = None
-            if t is not None and t in found:
-                path = [t]
-                while path[-1] != s:
-                    path.append(before[path[-1]])
-                path = [int(x) for x in net.ids[path[::-1]]]
-            rows.append((r["req_id"], r["source"], r["target"], path is not None, found.get(t) if path else None, path))
-        return pd.DataFrame(rows, columns=["req_id", "source", "target", "valid", "seconds", "path_nodes"])
-
-    return pairs.groupBy("source").applyInPandas(run, "req_id long, source long, target long, valid boolean, seconds double, path_nodes array<long>")
-
-
-def _walked(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Paths by relaxation, then a walk back over edges that are tight and one hop longer."""
-    known = cut(relax(edges, pairs.select("source").where("source is not null")))
-    a, b = known.alias("a"), known.alias("b")
-    tight = a.join(edges.alias("e"), F.col("a.node") == F.col("e.src")).join(b, (F.col("a.source") == F.col("b.source")) & (F.col("b.node") == F.col("e.dst")))
-    near = F.abs(F.col("a.seconds") + F.col("e.seconds") - F.col("b.seconds")) <= F.lit(TOLERANCE) * F.greatest(F.lit(1.0), F.col("b.seconds"))
-    tight = cut(tight.where(near).select(F.col("a.source").alias("source"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst")))
-    # hops over tight edges, so that edges of no length can't make a circle
-    hops = cut(relax(tight.select(F.struct("source", "src").alias("src"), F.struct("source", "dst").alias("dst")).select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), F.lit(1.0).alias("seconds")).distinct(), pairs.where("source is not null").select(F.xxhash64(F.struct("source", F.col("source").alias("x"))).alias("source")).distinct()))
-    key = lambda s, n: F.xxhash64(F.struct(s, n))
-    level = hops.select(F.col("source").alias("sk"), F.col("node").alias("nk"), F.col("seconds").alias("hops"))
-    origin = key(F.col("source"), F.col("source"))
-    ranked = tight.withColumns({"sk": origin, "k1": key(F.col("source"), F.col("src")), "k2": key(F.col("source"), F.col("dst"))})
-    ranked = ranked.join(level.select("sk", F.col("nk").alias("k1"), F.col("hops").alias("h1")), ["sk", "k1"]).join(level.select("sk", F.col("nk").alias("k2"), F.col("hops").alias("h2")), ["sk", "k2"]).where("h1 = h2 - 1")
-    before = cut(ranked.groupBy("source", "dst").agg(F.min("src").alias("src")))
-    rows = pairs.join(known.select("source", F.col("node").alias("target"), "seconds"), ["source", "target"], "left")
-    rows = cut(rows.select("req_id", "source", "target", F.col("seconds").isNotNull().alias("valid"), "seconds", F.when(F.col("seconds").isNotNull(), F.array("target")).alias("path_nodes")))
-    while True:
-        head = F.element_at("path_nodes", 1)
-        open_ = rows.where("valid and element_at(path_nodes, 1) <> source")
-        if open_.isEmpty():
-            return rows
-        step = rows.withColumn("dst", F.when(F.col("valid"), head)).join(before.select("source", "dst", F.col("src").alias("p")), ["source", "dst"], "left")
-        rows = cut(step.select("req_id", "source", "target", "valid", "seconds", F.when(F.col("p").isNotNull() & (F.col("dst") != F.col("source")), F.concat(F.array("p"), "path_nodes")).otherwise(F.col("path_nodes")).alias("path_nodes")))
+    ship(edges.sparkSession)
+    if full.limit(EDGE_BOUND + 1).count() > EDGE_BOUND:
+        return _joined(ranks, full, cut(pairs))
+    r, e = ranks.select("node", "rank").toArrow(), full.select("src", "dst", "seconds", F.coalesce("mid_node", F.lit(-1).cast("long")).alias("mid")).toArrow()
+    held = edges.sparkSession.sparkContext.broadcast(Hierarchy(*(t.column(c).to_numpy() for t, c in ((r, "node"), (r, "rank"), (e, "src"), (e, "dst"), (e, "seconds"), (e, "mid")))))
+    # an origin of many requests is split by their numbers, and its requests in a task share one search
+    dealt = pairs.repartitionByRange("source", "req_id").sortWithinPartitions("source")
+    return dealt.mapInArrow(_search(held), SCHEMA)
+
+
+def _upward(ranks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges to equal or higher ranks, forward and turned round."""
+    at = lambda c, r: ranks.select(F.col("node").alias(c), F.col("rank").alias(r))
+    up = edges.join(at("src", "r1"), "src").join(at("dst", "r2"), "dst")
+    return cut(up.where("r2 >= r1").select("src", "dst", "seconds")), cut(up.where("r1 >= r2").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "seconds"))
+
+
+def _joined(ranks: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Routes by joins: only the nodes on the way up from the ends are relaxed, never the whole network."""
+    ahead, behind = _upward(ranks, edges)
+    known = ranks.select(F.col("node").alias("source"))
+    f = cut(relax(ahead, pairs.select("source").distinct().join(known, "source", "left_semi")))
+    b = cut(relax(behind, pairs.select(F.col("target").alias("source")).distinct().join(known, "source", "left_semi")))
+    ends = b.select(F.col("source").alias("target"), "node", F.col("seconds").alias("db"))
+    met = pairs.join(f.select("source", "node", F.col("seconds").alias("df")), "source").join(ends, ["target", "node"])
+    met = met.groupBy("req_id").agg(F.min(F.struct((F.col("df") + F.col("db")).alias("seconds"), "node")).alias("m"))
+    rows = cut(pairs.join(met, "req_id", "left").select("req_id", "source", "target", F.col("m").isNotNull().alias("valid"), F.col("m.seconds").alias("seconds"), F.when(F.col("m").isNotNull(), F.array("m.node")).alias("path_nodes")))
+
+    def walked(rows: DataFrame, steps: DataFrame, origin: str, at: int) -> DataFrame:
+        """Follows the nodes before, at the front (1) or the back (-1), until ``origin``."""
+        back = steps.where("before is not null").select(F.col("source").alias("o"), F.col("node").alias("n"), "before")
+        while True:
+            tip = F.element_at("path_nodes", at)
+            if rows.where(F.col("valid") & (tip != F.col(origin))).isEmpty():
+                return rows
+            step = rows.join(back, (F.col(origin) == F.col("o")) & (tip == F.col("n")), "left")
+            grown = F.concat(F.array("before"), "path_nodes") if at == 1 else F.concat("path_nodes", F.array("before"))
+            rows = cut(step.withColumn("path_nodes", F.when(F.col("before").isNull(), F.col("path_nodes")).otherwise(grown)).drop("o", "n", "before"))
+
+    rows = walked(walked(rows, f, "source", 1), b, "target", -1)
+    whole = unpack(rows.where("valid").select("req_id", "path_nodes"), edges)
+    return rows.drop("path_nodes").join(whole, "req_id", "left").select("req_id", "source", "target", "valid", "seconds", "path_nodes")
 
 
 def with_coordinates(routes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -166,23 +311,47 @@ def with_coordinates(routes: DataFrame, nodes: DataFrame) -> DataFrame:
     return routes.join(rows.select("req_id", coords.alias("path_coords"), length.alias("distance_m")), "req_id", "left")
 
 
-def contract(edges: DataFrame, mode: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """A hierarchy: ranks (node, rank) and edges (src, dst, seconds, mid_node) with shortcuts.
+#: A node is contracted while it has at most so many pairs of an edge in and an edge out.
+PAIRS = 36
+#: Contraction ends when fewer than this share of the nodes can go in a round.
+LEAST_SHARE = 0.02
+
+
+def contract(edges: DataFrame, mode: int, rounds: int | None = None, pairs: int | None = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """:func:`contract_cheapest` over the roads of a mode."""
+    return contract_cheapest(cheapest(edges, mode), rounds, pairs)
+
+
+def contract_cheapest(edges: DataFrame, rounds: int | None = None, pairs: int | None = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """A hierarchy of (src, dst, seconds): ranks (node, rank) and edges (src, dst, seconds, mid_node) with shortcuts.
 
-    Each round contracts the nodes whose priority is smaller than that of all their neighbours.
-    What is left after ``rounds`` is a core of equal rank, so distances stay exact for any number.
+    Each round contracts the nodes whose priority is smaller than that of all their neighbours, among those with
+    at most ``pairs`` pairs of edges that need no more shortcuts than they have edges (None: among all). It
+    goes on to the end, or for ``rounds`` rounds: until less than LEAST_SHARE of the nodes can go. What is left
+    is a core of equal rank, empty or small on roads and large where nodes have many neighbours; distances stay
+    exact in any case.
     """
-    now = cut(cheapest(edges, mode).withColumn("mid_node", F.lit(None).cast("long")))
-    full, ranks = now, None
-    for r in range(1, rounds + 1):
-        flat = now.select("src", "dst", "seconds", F.lit(mode).alias("mode"))
-        cuts = cut(needed_shortcuts(flat, mode))
-        ends = now.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    now = cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("seconds").alias("seconds")).withColumn("mid_node", F.lit(None).cast("long")))
+    loose = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    full, ranks, r = now, None, 0
+    while rounds is None or r < rounds:
+        r += 1
+        sides = now.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(now.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        degree = sides.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        if pairs is not None:
+            n, few = degree.agg(F.count("*"), F.count_if(F.col("o") * F.col("i") <= pairs)).first()
+            if not few or few < LEAST_SHARE * n:
+                break
+            degree = degree.where(F.col("o") * F.col("i") <= pairs)
+        degree = cut(degree.select("node", (F.col("o") + F.col("i")).alias("n")))
+        cuts = cut(needed_shortcuts(now.select("src", "dst", "seconds"), None, degree.select(F.col("node").alias("via")) if pairs is not None else None))
         made = cuts.groupBy(F.col("via").alias("node")).agg(F.count("*").alias("m"))
-        rank = cut(ends.join(made, "node", "left").select("node", F.struct((F.coalesce("m", F.lit(0).cast("long")) - F.col("n")).alias("p"), F.xxhash64("node").alias("h"), "node").alias("k")))
-        near = now.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(now.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
+        more = F.coalesce("m", F.lit(0).cast("long")) - F.col("n")
+        rank = degree.join(made, "node", "left").select("node", F.struct(more.alias("p"), F.xxhash64("node", F.lit(r)).alias("h"), "node").alias("k"))
+        rank = cut(rank if pairs is None else rank.where("k.p <= 0"))
+        near = now.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(now.select(F.col("dst").alias("node"), F.col("src").alias("other")))
         least = near.join(rank.select(F.col("node").alias("other"), F.col("k").alias("ko")), "other").groupBy("node").agg(F.min("ko").alias("ko"))
-        out = cut(rank.join(least, "node").where("k < ko").select("node"))
+        out = cut(rank.join(least, "node", "left").where("ko is null or k < ko").select("node"))
         if out.isEmpty():
             break
         ranks = out.withColumn("rank", F.lit(r)) if ranks is None else ranks.unionByName(out.withColumn("rank", F.lit(r)))
@@ -191,15 +360,15 @@ def contract(edges: DataFrame, mode: int, rounds: int = 3) -> tuple[DataFrame, D
         full = full.unionByName(new)
         gone = lambda df, c: df.join(out.select(F.col("node").alias(c)), c, "left_anti")  # noqa: B023, E731
         now = cut(gone(gone(now, "src"), "dst").unionByName(new).groupBy("src", "dst").agg(F.min(F.struct("seconds", "mid_node")).alias("b")).select("src", "dst", "b.seconds", "b.mid_node"))
-    core = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("rank", F.lit(rounds + 1))
-    return cut(core if ranks is None else ranks.unionByName(core)), cut(full.groupBy("src", "dst").agg(F.min(F.struct("seconds", "mid_node")).alias("b")).select("src", "dst", "b.seconds", "b.mid_node"))
+    done = ranks.select("node") if ranks is not None else loose.limit(0)
+    core = loose.join(done, "node", "left_anti").withColumn("rank", F.lit(r + 1))
+    full = full.groupBy("src", "dst").agg(F.min(F.struct("seconds", "mid_node")).alias("b")).select("src", "dst", "b.seconds", "b.mid_node")
+    return cut(core if ranks is None else ranks.unionByName(core)), cut(full)
 
 
 def hierarchy_distance(ranks: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """source, target, seconds by upward searches from both ends that meet: equal ranks pass."""
-    up = edges.join(ranks.select(F.col("node").alias("src"), F.col("rank").alias("r1")), "src").join(ranks.select(F.col("node").alias("dst"), F.col("rank").alias("r2")), "dst")
-    ahead = up.where("r2 >= r1").select("src", "dst", "seconds")
-    behind = up.where("r1 >= r2").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "seconds")
+    ahead, behind = _upward(ranks, edges)
     f = distances(ahead, pairs.select("source")).select("source", "node", F.col("seconds").alias("df"))
     b = distances(behind, pairs.select(F.col("target").alias("source"))).select(F.col("source").alias("target"), "node", F.col("seconds").alias("db"))
     return pairs.select("source", "target").distinct().join(f, "source").join(b, ["target", "node"]).groupBy("source", "target").agg(F.min(F.col("df") + F.col("db")).alias("seconds"))
