@@ -36,7 +36,7 @@ def test_whole_documents_are_normalized(spark):
 
     sf, table = "/root/testdata/sf0.001", str.maketrans(dict(zip(text.NORM_FROM, text.NORM_TO, strict=True)))
     want = {i: re.sub(r"^ | +$", "", re.sub(r"[ \t]+", " ", t.translate(table))) if t is not None else None for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
-    got = {r.doc_id: r.norm for r in catalog.QUERIES["normalize_documents"](spark, sf).collect()}
+    got = {r.doc_id: r.norm for r in catalog.QUERIES["normalize_text"](spark, sf).collect()}
     assert got == want and max(len(t or "") for t in got.values()) > 1000
 
 

@@ -206,7 +206,9 @@ def test_map_file_to_tables(spark, tmp_path):
     spark.dataSource.register(pbf.OsmPbf)
     read = lambda kind: spark.read.format("osm_pbf").option("path", str(path)).option("kind", kind).load()
     assert [(r.osm_id, r.lat, r.tags) for r in read("nodes").collect()][0] == (1, 21.0, {"amenity": "cafe"})
-    out = etl.build(spark, read("ways"), read("nodes"), str(tmp_path / "out"), 1)
+    out, counters = etl.build(spark, read("ways"), read("nodes"), str(tmp_path / "out"), 1)
+    assert counters["edges_inserted"] == 4 and counters["places_inserted"] == 1 and counters["places_skipped"] == 1 and counters["ranges_resolved"] == 0
+    assert out["ranks"].count() == 3 and out["tiles"].count() > 0 and tables.coordinates(spark, str(tmp_path / "out")).columns == ["lat", "lon"]
     assert out["edges"].count() == 4 and out["nodes"].count() == 3
     assert {r.type for r in out["places"].collect()} == {"street:residential"}
     out["nodes"].write.parquet(str(tmp_path / "bad/edges"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import geo, tags, text
 from wayloom.operators import address, graph, routing, search, spatial
-from wayloom.plans import api
+from wayloom.plans import api, etl
+from wayloom.sources import tables
 from wayloom.sources.fixtures import load, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,7 +189,17 @@ def tile_bboxes(spark, sf_dir):
     return spatial.tile_boxes(spatial.str_tiles(_edges(spark, sf_dir))).select("strip", "tile", "n_edges", *[F.round(c, 6).alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
 
 
-#: Nearest segments within a block of 3 x 3 tiles, smaller where roads are denser; points whose best isn't nearer than a tile have no row here.
+def _nearest_sql(points: str) -> str:
+    """CTE s: the nearest of all segments to every row (point_id, lat, lon) of ``points``."""
+    t = "case when power(lat_dst - lat_src, 2) + power(lon_dst - lon_src, 2) < 1e-18 then 0e0 else greatest(0e0, least(1e0, ((q.lat - lat_src) * (lat_dst - lat_src) + (q.lon - lon_src) * (lon_dst - lon_src)) / ((lat_dst - lat_src) * (lat_dst - lat_src) + (lon_dst - lon_src) * (lon_dst - lon_src)))) end"
+    metres = _HAV("lat", "lon", "(lat_src + t * (lat_dst - lat_src))", "(lon_src + t * (lon_dst - lon_src))")
+    return f"""seg1 as (select distinct src, dst, lat_src, lon_src, lat_dst, lon_dst from edges),
+one1 as (select * from seg1 a where src < dst or not exists (select 1 from seg1 b where b.src = a.dst and b.dst = a.src)),
+near as (select q.point_id, q.lat, q.lon, src, dst, lat_src, lon_src, lat_dst, lon_dst, {t} as t from {points} q, one1),
+s as (select point_id, min(struct_pack(mm := round({metres}, 3), src := src, dst := dst, t := t, plat := lat_src + t * (lat_dst - lat_src), plon := lon_src + t * (lon_dst - lon_src))) as s from near group by 1)"""
+
+
+#: The nearest segment within a block of 3 x 3 tiles where it is nearer than the block's edge can be, and of all segments for the other points.
 _SNAP = f"""with {_GRAPH}, e as (select distinct src, dst, lat_src, lon_src, lat_dst, lon_dst from edges),
 zz as (select 9e0 / sqrt(count(*)) as z from e),
 e1 as (select *, unnest(range(cast(floor(least(lat_src, lat_dst) / (select z from zz)) as bigint), cast(floor(greatest(lat_src, lat_dst) / (select z from zz)) as bigint) + 1)) as ty from e),
@@ -195,8 +207,11 @@ e2 as (select *, case when lat_dst = lat_src then lon_src else lon_src + (lon_ds
 e3 as (select *, unnest(range(cast(floor((least(xa, xb) - 1e-9) / (select z from zz)) as bigint), cast(floor((greatest(xa, xb) + 1e-9) / (select z from zz)) as bigint) + 1)) as tx from e2),
 q as (select point_id, lat, lon, cast(floor(lat / (select z from zz)) as bigint) + dy.i as ty, cast(floor(lon / (select z from zz)) as bigint) + dx.i as tx from fx_points, (select unnest([-1, 0, 1]) as i) dy, (select unnest([-1, 0, 1]) as i) dx),
 p as (select distinct point_id, q.lat, q.lon, src, dst, lat_src, lon_src, lat_dst, lon_dst, case when power(lat_dst - lat_src, 2) + power(lon_dst - lon_src, 2) < 1e-18 then 0e0 else greatest(0e0, least(1e0, ((q.lat - lat_src) * (lat_dst - lat_src) + (q.lon - lon_src) * (lon_dst - lon_src)) / ((lat_dst - lat_src) * (lat_dst - lat_src) + (lon_dst - lon_src) * (lon_dst - lon_src)))) end as t from q join e3 using (ty, tx)),
-s0 as (select point_id, min(struct_pack(mm := round({_HAV('lat', 'lon', '(lat_src + t * (lat_dst - lat_src))', '(lon_src + t * (lon_dst - lon_src))')}, 3), src := src, dst := dst, t := t, plat := lat_src + t * (lat_dst - lat_src), plon := lon_src + t * (lon_dst - lon_src))) as s from p group by 1),
-s as (select * from s0 where s.mm < 1e5 * (select z from zz))"""
+g0 as (select point_id, min(struct_pack(mm := round({_HAV('lat', 'lon', '(lat_src + t * (lat_dst - lat_src))', '(lon_src + t * (lon_dst - lon_src))')}, 3), src := src, dst := dst, t := t, plat := lat_src + t * (lat_dst - lat_src), plon := lon_src + t * (lon_dst - lon_src))) as s from p group by 1),
+g as (select * from g0 where g0.s.mm < 1e5 * (select z from zz)),
+rest as (select point_id, lat, lon from fx_points where point_id not in (select point_id from g)),
+{_nearest_sql('rest').replace('s as (select point_id, min', 'far as (select point_id, min')},
+s as (select * from g union all select * from far)"""
 
 
 @query(f"{_SNAP} select point_id, s.src as edge_u, s.dst as edge_v, round(s.t, 3) as t, round(s.plat, 5) as proj_lat, round(s.plon, 5) as proj_lon, s.mm as dist_m from s")
@@ -206,23 +221,41 @@ def snap_grid(spark, sf_dir):
     return s.select("point_id", "edge_u", "edge_v", F.round("t", 3).alias("t"), F.round("proj_lat", 5).alias("proj_lat"), F.round("proj_lon", 5).alias("proj_lon"), F.round("dist_m", 3).alias("dist_m"))
 
 
-@query(f"{_SNAP}, k as (select point_id, s.src as u, s.dst as v, power(s.plat - x.lat, 2) + power(s.plon - x.lon, 2) as du, power(s.plat - y.lat, 2) + power(s.plon - y.lon, 2) as dv from s join fx_nodes x on x.osm_id = s.src join fx_nodes y on y.osm_id = s.dst) select point_id, case when du <= dv then u else v end as node from k")
+@query(f"{_SNAP} select point_id, s.src as edge_u, s.dst as edge_v, round(s.t, 3) as t, round(s.plat, 5) as proj_lat, round(s.plon, 5) as proj_lon, s.mm as dist_m from s")
+def snap_stored(spark, sf_dir):
+    """Nearest segment of every point, from tiles that were stored and read again."""
+    folder = f"{tables.shared_folder(spark)}/wayloom-index-{uuid.uuid4().hex}"
+    tables.write(spatial.snap_index(_edges(spark, sf_dir)), folder, "tiles")
+    tables.drop_at_exit(spark, folder)
+    s = spatial.snap(load(spark, sf_dir, "fx_points"), None, index=tables.read(spark, folder, "tiles"))
+    return s.select("point_id", "edge_u", "edge_v", F.round("t", 3).alias("t"), F.round("proj_lat", 5).alias("proj_lat"), F.round("proj_lon", 5).alias("proj_lon"), F.round("dist_m", 3).alias("dist_m"))
+
+
+_PICK = "k as (select point_id, s.src as u, s.dst as v, s.plat, s.plon, s.mm, power(s.plat - x.lat, 2) + power(s.plon - x.lon, 2) as du, power(s.plat - y.lat, 2) + power(s.plon - y.lon, 2) as dv from s join fx_nodes x on x.osm_id = s.src join fx_nodes y on y.osm_id = s.dst)"
+
+
+@query(f"{_SNAP}, {_PICK} select point_id, case when du <= dv then u else v end as node from k")
 def picked_nodes(spark, sf_dir):
     """The road node of every point, through quantised positions."""
     return spatial.pick_node(spatial.snap_quantized(load(spark, sf_dir, "fx_points"), _edges(spark, sf_dir)), load(spark, sf_dir, "fx_nodes")).select("point_id", "node")
 
 
-# ---- text and addresses
+_BOX = " union all ".join(f"select osm_id, '{n}' as label, power(lat - greatest({a}, least(lat, {b})), 2) + power(lon - greatest({c}, least(lon, {d})), 2) as d from fx_nodes" for n, (a, b, c, d) in tags.BOXES.items())
 
 
-@query(f"select doc_id, {_NORM('substring(text, 1, 200)')} as norm from documents")
-def normalize_text(spark, sf_dir):
-    """Normalised beginnings of the documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize(F.substring("text", 1, 200)).alias("norm"))
+@query(f"select osm_id, label, round(d, 6) as sq_degrees from ({_BOX}) b")
+def box_distances(spark, sf_dir):
+    """Squared degrees from every node to the labelled boxes."""
+    n = load(spark, sf_dir, "fx_nodes")
+    boxes = F.array(*[F.struct(F.lit(k).alias("label"), F.round(geo.box_distance_sq(F.col("lat"), F.col("lon"), *map(F.lit, v)), 6).alias("sq_degrees")) for k, v in tags.BOXES.items()])
+    return n.select("osm_id", F.inline(boxes))
+
+
+# ---- text and addresses
 
 
-@query()
-def normalize_documents(spark, sf_dir):
+@query(f"select doc_id, {_NORM('text')} as norm from documents")
+def normalize_text(spark, sf_dir):
     """Normalised documents, whole texts."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize(F.col("text")).alias("norm"))
 
@@ -323,17 +356,24 @@ _ASKED = (("the", 21.0, 105.8), ("the an", 21.0, 105.8), ("de la", 20.7, 106.1),
 _QUERY_ROWS = ", ".join(f"({i}, '{q}', {a}, {b})" for i, (q, a, b) in enumerate(_ASKED))
 
 
-def _bm25(near: bool) -> str:
+_VALUES = f"select cast(query_id as bigint) as query_id, q, cast(user_lat as double) as user_lat, cast(user_lon as double) as user_lon from (values {_QUERY_ROWS}) t(query_id, q, user_lat, user_lon)"
+
+
+def _hits(queries: str, near: bool) -> str:
+    """CTE rk: all places that match each query, ranked."""
     damp = " / (1 + power(lat - user_lat, 2) + power(lon - user_lon, 2))" if near else ""
-    return f"""with {_POST},
-qs as (select cast(query_id as bigint) as query_id, q, cast(user_lat as double) as user_lat, cast(user_lon as double) as user_lon from (values {_QUERY_ROWS}) t(query_id, q, user_lat, user_lon)),
+    return f"""{_POST},
+qs as ({queries}),
 qt as (select query_id, unnest({_TOK(_NORM('q'))}) as tok, unnest(range(len({_TOK(_NORM('q'))}))) as pos from qs),
 f as (select query_id, pos, place_id, sum(tf) as f from qt join post on starts_with(term, tok) group by 1, 2, 3),
 df as (select query_id, pos, count(*) as df from f group by 1, 2),
 sc as (select query_id, place_id, sum(case when ln((n_docs - df + 0.5e0) / (df + 0.5e0)) > 0 then ln((n_docs - df + 0.5e0) / (df + 0.5e0)) else 1e-6 end * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_len))) as score, count(*) as n from f join df using (query_id, pos) join len using (place_id), whole group by 1, 2),
 hit as (select query_id, place_id, name, type, lat, lon, score{damp} as score from sc join pl on pl.id = place_id join qs using (query_id) where n = (select count(*) from qt where qt.query_id = sc.query_id)),
-rk as (select *, row_number() over (partition by query_id order by round(score, 9) desc, place_id) as rank from hit)
-select query_id, cast(rank as int) as rank, place_id, name, type, round(lat, 6) as lat, round(lon, 6) as lon, round(score, 6) as score from rk where rank <= 10"""
+rk as (select *, row_number() over (partition by query_id order by round(score, 9) desc, place_id) as rank from hit)"""
+
+
+def _bm25(near: bool) -> str:
+    return f"with {_hits(_VALUES, near)} select query_id, cast(rank as int) as rank, place_id, name, type, round(lat, 6) as lat, round(lon, 6) as lon, round(score, 6) as score from rk where rank <= 10"
 
 
 def _places(spark, sf_dir):
@@ -413,26 +453,41 @@ def _node_pairs(spark, sf_dir):
 @query(f"""with recursive {_GRAPH}, {_CHEAP(2)},
 r(node, d, m) using key (node) as (select cast(0 as bigint), 0e0, 0e0 union select e.v, min(r.d + e.w), arg_min(r.m + e.m, r.d + e.w) from r join e on r.node = e.u left join recurring.r x on x.node = e.v where x.d is null or r.d + e.w < x.d group by e.v)
 select osm_id as req_id, cast(0 as bigint) as source, osm_id as target, node is not null as valid, round(d, 2) as seconds, round(m, 2) as distance_m from fx_nodes left join r on node = osm_id""")
-def od_route_path(spark, sf_dir):
-    """Motorbike routes from node 0 to every node, with their length."""
+def route_tree(spark, sf_dir):
+    """Motorbike routes from node 0 to every node, with their length."""
     nodes = load(spark, sf_dir, "fx_nodes")
     found = routing.with_coordinates(routing.paths(graph.cheapest(_edges(spark, sf_dir), 2), _node_pairs(spark, sf_dir)), nodes)
     return found.select("req_id", "source", "target", "valid", F.round("seconds", 2).alias("seconds"), F.round("distance_m", 2).alias("distance_m"))
 
 
-#: Pairs of nodes that are asked for.
-_PAIRS = ((0, 1), (0, 50), (0, 199), (3, 9), (3, 120), (17, 0), (17, 17), (17, 111))
-_PAIR_ROWS = ", ".join(f"({a}, {b})" for a, b in _PAIRS)
+def _routes_sql(od: str) -> str:
+    """CTEs od (req_id, mode, s, t, ...) as given, and r: the shortest way by (mode, s, node), with its length and nodes."""
+    return f"""ch as (select bit, src as u, dst as v, min(seconds) as w, arg_min(metres, seconds) as m from edges, (values (1), (2), (4), (8)) b(bit) where mode & bit <> 0 group by 1, 2, 3),
+od as ({od}),
+r(mode, s, node, d, m, p) using key (mode, s, node) as (select distinct mode, s, s, 0e0, 0e0, cast(s as varchar) from od union
+ select r.mode, r.s, e.v, min(r.d + e.w), arg_min(r.m + e.m, r.d + e.w), arg_min(r.p || ' ' || e.v, r.d + e.w) from r join ch e on r.node = e.u and r.mode = e.bit left join recurring.r x on x.mode = r.mode and x.s = r.s and x.node = e.v where x.d is null or r.d + e.w < x.d group by 1, 2, 3)"""
+
+
+def _od_sql(mode: int) -> str:
+    return f"""with recursive {_GRAPH}, {_routes_sql(f'select req_id, {mode} as mode, source as s, target as t from fx_requests')}
+select req_id, od.s as source, t as target, node is not null as valid, coalesce(round(d, 2), -1) as seconds, coalesce(p, '') as path from od left join r on r.s = od.s and r.node = t"""
+
+
+def _routed(found: DataFrame) -> DataFrame:
+    return found.select("req_id", "source", "target", "valid", F.round("seconds", 2).alias("seconds"), F.array_join("path_nodes", " ").alias("path")).fillna(-1, ["seconds"]).fillna("", ["path"])
 
 
-@query(f"""with recursive {_GRAPH}, {_CHEAP(1)}, od as (select cast(s as bigint) as s, cast(t as bigint) as t from (values {_PAIR_ROWS}) x(s, t)),
-r(s, node, d) using key (s, node) as (select distinct s, s, 0e0 from od union select r.s, e.v, min(r.d + e.w) from r join e on r.node = e.u left join recurring.r x on x.s = r.s and x.node = e.v where x.d is null or r.d + e.w < x.d group by r.s, e.v)
-select od.s as source, od.t as target, round(d, 3) as seconds from od join r on r.s = od.s and r.node = od.t""")
+@query(_od_sql(2))
+def od_route_path(spark, sf_dir):
+    """Motorbike routes and their nodes, each from an origin of its own."""
+    return _routed(routing.paths(graph.cheapest(_edges(spark, sf_dir), 2), load(spark, sf_dir, "fx_requests")))
+
+
+@query(_od_sql(4))
 def od_distance(spark, sf_dir):
-    """Distances by upward searches in a contracted hierarchy that meet."""
-    pairs = spark.createDataFrame(list(_PAIRS), "source long, target long")
-    ranks, edges = routing.contract(_edges(spark, sf_dir), 1, 1)
-    return routing.hierarchy_distance(ranks, edges, pairs).select("source", "target", F.round("seconds", 3).alias("seconds"))
+    """Bicycle routes by upward searches that meet in a hierarchy of one round over all nodes, its shortcuts unpacked."""
+    edges = tables.cut(_edges(spark, sf_dir))
+    return _routed(routing.paths(graph.cheapest(edges, 4), load(spark, sf_dir, "fx_requests"), routing.contract(edges, 4, 1, None)))
 
 
 @query(f"with {_GRAPH}, {_CHEAP(4)} select i.v as via, i.u as u, o.v as w, round(i.w + o.w, 3) as seconds from e i join e o on i.v = o.u where i.u <> o.v")
@@ -450,20 +505,100 @@ def contraction_priority(spark, sf_dir):
     return graph.contraction_priority(_edges(spark, sf_dir), 4)
 
 
-#: Requests of users: (lat_a, lon_a, lat_b, lon_b, mode), and (from, to, mode).
-_TRIPS = ((20.61, 105.41, 21.33, 106.21, 1), (20.95, 105.77, 20.96, 105.78, 1), (21.4, 105.4, 20.7, 106.0, 2), (20.8, 106.2, 21.1, 105.5, 4), (21.2, 105.9, 20.9, 105.35, 8), (20.95, 105.77, 20.95, 105.77, 1))
-_VISITS = (("the an", "de la", 1), ("The An", "books ion", 2), ("zzzz", "the", 1), ("de la", "the", 2))
+def _coords_sql(trips: str) -> str:
+    """CTE routes of trips (req_id, lat_a, lon_a, lat_b, lon_b, mode): nearest of all segments, picked nodes, shortest way."""
+    ends = f"select req_id * 2 as point_id, lat_a as lat, lon_a as lon from {trips} union all select req_id * 2 + 1, lat_b, lon_b from {trips}"
+    od = f"select t.req_id, t.mode, a.node as s, b.node as t, a.mm as ma, b.mm as mb, a.plat as alat, a.plon as alon, b.plat as blat, b.plon as blon from {trips} t join pk a on a.point_id = t.req_id * 2 join pk b on b.point_id = t.req_id * 2 + 1"
+    return f"""pts as ({ends}), {_nearest_sql('pts')}, {_PICK}, pk as (select *, case when du <= dv then u else v end as node from k), {_routes_sql(od)},
+routes as (select req_id, od.mode, node is not null as valid, od.s as source, od.t as target, round(ma, 1) as snap_a_m, round(mb, 1) as snap_b_m, round(alat, 5) as from_lat, round(alon, 5) as from_lon, round(blat, 5) as to_lat, round(blon, 5) as to_lon,
+ round(m, 2) as distance_m, round(m / 1000, 3) as distance_km, round(d, 2) as time_s, round(d / 60, 2) as time_min, p as path from od left join r on r.mode = od.mode and r.s = od.s and r.node = od.t)"""
+
+
+def _told(routes: DataFrame, *more: str) -> DataFrame:
+    at = [F.round(f"{c}.{x}", 5).alias(f"{n}_{x}") for c, n in (("snap_from", "from"), ("snap_to", "to")) for x in ("lat", "lon")]
+    flat = routes.select("req_id", *more, "mode", "valid", "source", "target", "snap_a_m", "snap_b_m", *at, "distance_m", "distance_km", "time_s", "time_min", F.array_join("path_nodes", " ").alias("path"))
+    return flat.fillna(-1, _NUMBERS).fillna("", [*more, "path"])
+
+
+_NUMBERS = "source target snap_a_m snap_b_m from_lat from_lon to_lat to_lon distance_m distance_km time_s time_min".split()
 
 
-@query()
+@query(f"with recursive {_GRAPH}, {_coords_sql('fx_trips')} select req_id, mode, valid, {', '.join(f'coalesce({c}, -1) as {c}' for c in _NUMBERS)}, coalesce(path, '') as path from routes")
 def route_coords(spark, sf_dir):
     """Routes between coordinates."""
-    trips = spark.createDataFrame([(i, *t) for i, t in enumerate(_TRIPS)], "req_id long, lat_a double, lon_a double, lat_b double, lon_b double, mode int")
-    return api.route_coords(trips, _edges(spark, sf_dir), load(spark, sf_dir, "fx_nodes"))
+    return _told(api.route_coords(load(spark, sf_dir, "fx_trips"), _edges(spark, sf_dir), load(spark, sf_dir, "fx_nodes")))
 
 
-@query()
+_ASKED_PLACES = "select row_number() over (order by key) as query_id, key as q from (select distinct trim(lower(from_poi)) as key from fx_visits union select distinct trim(lower(to_poi)) from fx_visits)"
+_RESOLVED = """first as (select q, name, lat, lon from rk join qs using (query_id) where rank = 1),
+resolved as (select v.req_id, v.mode, a.name as from_place, b.name as to_place, a.lat as lat_a, a.lon as lon_a, b.lat as lat_b, b.lon as lon_b from fx_visits v left join first a on a.q = trim(lower(from_poi)) left join first b on b.q = trim(lower(to_poi))),
+known as (select * from resolved where from_place is not null and to_place is not null)"""
+
+
+@query(f"""with recursive {_GRAPH}, {_hits(_ASKED_PLACES, False)}, {_RESOLVED}, {_coords_sql('known')}
+select v.req_id, coalesce(v.from_place, '') as from_place, coalesce(v.to_place, '') as to_place, v.mode, coalesce(valid, false) as valid, {', '.join(f"coalesce(routes.{c}, -1) as {c}" for c in _NUMBERS)}, coalesce(routes.path, '') as path from resolved v left join routes using (req_id)""")
 def route_poi(spark, sf_dir):
     """Routes between named places."""
-    visits = spark.createDataFrame([(i, *v) for i, v in enumerate(_VISITS)], "req_id long, from_poi string, to_poi string, mode int")
-    return api.route_poi(visits, _places(spark, sf_dir), _edges(spark, sf_dir), load(spark, sf_dir, "fx_nodes"))
+    return _told(api.route_poi(load(spark, sf_dir, "fx_visits"), _places(spark, sf_dir), _edges(spark, sf_dir), load(spark, sf_dir, "fx_nodes")), "from_place", "to_place")
+
+
+# ---- the offline pipeline
+
+
+def _raw(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Ways (way_id, node_ids, tags) and nodes (osm_id, lat, lon, tags) as a map file gives them."""
+    tag = lambda **kinds: F.map_filter(F.create_map(*[x for k, c in kinds.items() for x in (F.lit(k.replace("__", ":")), F.col(c))]), lambda _, v: v.isNotNull())
+    ids = load(spark, sf_dir, "fx_way_nodes").groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("node_ids"))
+    ways = load(spark, sf_dir, "fx_raw_ways").join(ids, "way_id").select("way_id", "node_ids", tag(highway="highway", oneway="oneway", junction="junction", addr__interpolation="interp_type", addr__street="street").alias("tags"))
+    return ways, load(spark, sf_dir, "fx_raw_nodes").select("osm_id", "lat", "lon", tag(addr__housenumber="house_number").alias("tags"))
+
+
+def _built(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    folder = f"{tables.shared_folder(spark)}/wayloom-etl-{uuid.uuid4().hex}"
+    tables.drop_at_exit(spark, folder)
+    return etl.build(spark, *_raw(spark, sf_dir), folder)
+
+
+_SPLIT = """sizes as (select way_id, count(*) as n, min_by(node_id, pos) as n_start, max_by(node_id, pos) as n_end from fx_way_nodes group by 1),
+raw as (select w.*, n, n_start, n_end, interp_type is not null and n >= 2 as is_range from fx_raw_ways w join sizes using (way_id))"""
+_BUILT = f"with {_SPLIT}, fx_roads as (select way_id, highway, oneway, junction from raw where not is_range), {_GRAPH.replace('fx_ways', 'fx_roads')}"
+_ENDS = f"""num as (select osm_id, lat, lon, try_cast(nullif(regexp_extract(house_number, '^\\s*(\\d+)', 1), '') as int) as num from fx_raw_nodes),
+ends as (select way_id as id, coalesce(street, '') as street, interp_type, x.num as a, y.num as b, x.lat as lat_a, x.lon as lon_a, y.lat as lat_b, y.lon as lon_b from raw join num x on x.osm_id = n_start join num y on y.osm_id = n_end where is_range and x.num is not null and y.num is not null)"""
+_RANGES = f"{_SPLIT}, {_ENDS}, ranges as (select * from ends where street <> '' and a <> b)"
+
+
+@query(f"{_BUILT} select src, dst, mode, highway, way_id, pos, round(metres, 3) as metres, round(seconds, 3) as weight from edges")
+def stored_edges(spark, sf_dir):
+    """Edges of raw ways and nodes, as stored and read again."""
+    return _built(spark, sf_dir)[0]["edges"].select("src", "dst", "mode", "highway", "way_id", (F.col("pos") + 1).alias("pos"), F.round("metres", 3).alias("metres"), F.round("weight", 3).alias("weight"))
+
+
+@query(f"{_BUILT} select round(lat, 6) as lat, round(lon, 6) as lon, count(*) as n from fx_nodes where osm_id in (select node_id from fx_way_nodes join ways using (way_id)) group by 1, 2")
+def stored_coordinates(spark, sf_dir):
+    """Positions of the stored nodes, nothing else of them is read."""
+    folder = f"{tables.shared_folder(spark)}/wayloom-nodes-{uuid.uuid4().hex}"
+    tables.drop_at_exit(spark, folder)
+    ways, nodes = _raw(spark, sf_dir)
+    good = etl.split_ways(ways)[0].where(tags.accepted(F.col("highway")))
+    tables.write(graph.needed_nodes(nodes.select("osm_id", "lat", "lon"), good.select(F.explode("node_ids").alias("node_id"))), folder, "nodes")
+    return tables.coordinates(spark, folder).groupBy(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {_RANGES} select id, {_NORM('street')} as street_norm, least(a, b) as num_start, greatest(a, b) as num_end, interp_type, round(case when a > b then lat_b else lat_a end, 6) as lat_start, round(case when a > b then lon_a else lon_b end, 6) as lon_end from ranges")
+def resolved_ranges(spark, sf_dir):
+    """House-number ranges from interpolation ways and their end nodes."""
+    ways, nodes = _raw(spark, sf_dir)
+    ends = nodes.select("osm_id", "lat", "lon", F.col("tags")["addr:housenumber"].alias("house_number"))
+    got = address.resolve_ranges(etl.split_ways(ways)[1], ends)
+    return got.select("id", "street_norm", "num_start", "num_end", "interp_type", F.round("lat_start", 6).alias("lat_start"), F.round("lon_end", 6).alias("lon_end"))
+
+
+@query(f"""{_BUILT}, {_ENDS}, ranges as (select * from ends where street <> '' and a <> b),
+labels as (select osm_id, case {_LABEL} end as label from fx_nodes)
+select 'nodes_inserted' as counter, count(*) as n from fx_nodes where osm_id in (select node_id from fx_way_nodes join ways using (way_id)) union all select 'edges_inserted', count(*) from edges
+union all select 'places_inserted', count(label) from labels union all select 'places_skipped', 0
+union all select 'addr_ranges_inserted', count(*) from ranges union all select 'ranges_resolved', count(*) from ends union all select 'ranges_skipped', (select count(*) from raw where is_range) - (select count(*) from ranges)""")
+def etl_counters(spark, sf_dir):
+    """Rows inserted, skipped and resolved by the offline pipeline."""
+    counters = {k: v for k, v in _built(spark, sf_dir)[1].items() if k != "tiles_inserted"}
+    return spark.createDataFrame(list(counters.items()), "counter string, n long")

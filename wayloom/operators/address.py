@@ -13,12 +13,17 @@ def valid_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.where("street <> '' and num_start < num_end").withColumn("street_norm", text.normalize(F.col("street")))
 
 
-def resolve_ranges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ranges from interpolation ways (way_id, node_ids, street, interp_type): both ends joined to their nodes (osm_id, lat, lon, house_number)."""
+def resolved_ends(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Interpolation ways (way_id, node_ids, street, interp_type) whose two ends are nodes (osm_id, lat, lon, house_number) with a number."""
     number = F.regexp_extract("house_number", r"^\s*(\d+)", 1).try_cast("int")
     end = lambda c: nodes.select(F.col("osm_id").alias(f"n_{c}"), number.alias(f"num_{c}"), F.col("lat").alias(f"lat_{c}"), F.col("lon").alias(f"lon_{c}"))
     ends = ways.where(F.size("node_ids") >= 2).select(F.col("way_id").alias("id"), "street", "interp_type", F.element_at("node_ids", 1).alias("n_start"), F.element_at("node_ids", -1).alias("n_end"))
-    both = ends.join(end("start"), "n_start").join(end("end"), "n_end")
+    return ends.join(end("start"), "n_start").join(end("end"), "n_end").where("num_start is not null and num_end is not null")
+
+
+def resolve_ranges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ranges from interpolation ways: both ends joined to their nodes, the smaller number first."""
+    both = resolved_ends(ways, nodes)
     turned = F.col("num_start") > F.col("num_end")
     swap = {f"{a}_{b}": F.when(turned, F.col(f"{a}_{c}")).otherwise(F.col(f"{a}_{b}")) for a in ("num", "lat", "lon") for b, c in (("start", "end"), ("end", "start"))}
     return valid_ranges(both.select("id", "street", "interp_type", *[v.alias(k) for k, v in swap.items()]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import tags
-from wayloom.operators import address, graph, routing, search
+from wayloom.operators import address, graph, routing, search, spatial
 from wayloom.sources import tables
 
 
@@ -23,23 +23,30 @@ def split_ways(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roads, ranges
 
 
-def build(spark: SparkSession, ways: DataFrame, nodes: DataFrame, folder: str, hierarchy_rounds: int = 0) -> dict[str, DataFrame]:
-    """Writes edges, nodes, places and addr_ranges (and ranks) under ``folder``; returns them as read again."""
+def build(spark: SparkSession, ways: DataFrame, nodes: DataFrame, folder: str, hierarchy_mode: int = 0) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Writes nodes, edges, tiles, places and addr_ranges (and ranks and shortcuts of a mode) under ``folder``.
+
+    Returns the tables as read again, and counters: rows inserted into each, places without a name and
+    interpolation ways that were skipped, and ranges whose two ends were resolved.
+    """
     roads, ranges = split_ways(ways)
     good = roads.where(tags.accepted(F.col("highway")))
     way_nodes = good.select("way_id", F.posexplode("node_ids").alias("pos", "node_id"))
     tag = lambda c: F.col("tags")[c]
     tagged = nodes.select("osm_id", "lat", "lon", tag("name").alias("name"), tag("name:vi").alias("name_vi"), tag("amenity").alias("amenity"), tag("shop").alias("shop"), tag("tourism").alias("tourism"), tag("addr:housenumber").alias("house_number"))
     used = graph.needed_nodes(tagged.select("osm_id", "lat", "lon"), way_nodes)
-    edges = graph.road_edges(roads.select("way_id", "highway", "oneway", "junction"), way_nodes, used)
-    tables.write(used, folder, "nodes")
-    tables.write(edges.withColumn("weight", F.col("seconds")), folder, "edges")
-    found = search.storable(search.node_places(tagged).unionByName(search.street_places(good)))
-    tables.write(found.withColumn("id", F.xxhash64("type", "osm_id", "name")), folder, "places")
-    tables.write(address.resolve_ranges(ranges, tagged.select("osm_id", "lat", "lon", "house_number")), folder, "addr_ranges")
-    names = ["nodes", "edges", "places", "addr_ranges"]
-    if hierarchy_rounds:
-        stored = tables.read(spark, folder, "edges").withColumn("seconds", F.col("weight"))
-        tables.write(routing.contract(stored, tags.CAR, hierarchy_rounds)[0], folder, "ranks")
-        names.append("ranks")
-    return {n: tables.read(spark, folder, n) for n in names}
+    edges = tables.cut(graph.road_edges(roads.select("way_id", "highway", "oneway", "junction"), way_nodes, used))
+    found = tables.cut(search.node_places(tagged).unionByName(search.street_places(good)))
+    ends = tagged.select("osm_id", "lat", "lon", "house_number")
+    rows = {
+        "nodes": used, "edges": edges.withColumn("weight", F.col("seconds")), "tiles": spatial.snap_index(edges),
+        "places": search.storable(found).withColumn("id", F.xxhash64("type", "osm_id", "name")), "addr_ranges": address.resolve_ranges(ranges, ends),
+    }
+    if hierarchy_mode:
+        ranks, full = routing.contract(edges, hierarchy_mode)
+        rows |= {"ranks": ranks, "shortcuts": full.where("mid_node is not null").select("src", "dst", F.col("seconds").alias("weight"), F.lit(hierarchy_mode).alias("mode"), "mid_node")}
+    counters = {f"{n}_inserted": tables.write(df, folder, n) for n, df in rows.items()}
+    counters["places_skipped"] = found.count() - counters["places_inserted"]
+    counters["ranges_resolved"] = address.resolved_ends(ranges, ends).count()
+    counters["ranges_skipped"] = ranges.count() - counters["addr_ranges_inserted"]
+    return {n: tables.read(spark, folder, n) for n in rows}, counters

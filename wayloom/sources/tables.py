@@ -9,22 +9,29 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.sources.schemas import TABLES
 
 #: Columns that rows are sorted by inside files, so that readers can skip row groups.
-ORDER = {"edges": ("src", "dst"), "nodes": ("osm_id",), "places": ("id",), "addr_ranges": ("street_norm", "num_start"), "ranks": ("node",)}
+ORDER = {"edges": ("src", "dst"), "nodes": ("osm_id",), "places": ("id",), "addr_ranges": ("street_norm", "num_start"), "ranks": ("node",), "tiles": ("ty", "tx")}
 
 
-def write(df: DataFrame, folder: str, table: str) -> None:
-    """Writes a table of :data:`TABLES` under ``folder``, clustered by its key. Missing columns become null."""
+def write(df: DataFrame, folder: str, table: str) -> int:
+    """Writes a table of :data:`TABLES` under ``folder``, clustered by its key; the number of rows. Missing columns become null."""
     kinds = dict(x.rsplit(" ", 1) for x in TABLES[table].split(", "))
     rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
     if order := ORDER.get(table):
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.mode("overwrite").parquet(f"{folder}/{table}")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{table}")
+    return seen.get["n"]
+
+
+def coordinates(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the positions of the stored nodes: lat, lon; no other column is read."""
+    return read(spark, folder, "nodes").select("lat", "lon")
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -74,6 +81,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cuts lineage by writing to the shared folder, which outlives any executor.
 
@@ -82,6 +95,5 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wayloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
