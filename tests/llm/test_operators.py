@@ -382,6 +382,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(d.limit(0), F.col("p")).count() == 0
 
 
+def test_license_headers(spark):
+    body = "words and words of a plain file\n" * 30
+    rows = {
+        "wrapped": ("# Licensed under the Apache\n# License, Version 2.0 (the License);\n# you may not use this file except in compliance with the License.\n" + body, "Apache-2.0"),
+        "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.\n" + body, "LGPL-3.0"),
+        "agpl": (body + "This program is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        "gpl": ("This work is licensed under the GNU General Public License, version 3.\n" + body, "GPL-3.0"),
+        "denied": ("This work is not licensed under the MIT License\n" + body, None), "short": ("Not released under the MIT License", None),
+        "long": (body * 400 + "Released under the MIT License\n" + body * 400, "MIT"), "p/COPYING.txt": ("Released under the MIT License\n" + body, "MIT"), "p/q": (body, None),
+    }
+    d = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "p string, text string")
+    got = {r.path: r for r in licenses.scan_licenses(d.unionByName(d), F.col("p")).collect()}
+    assert {k: got[k].license for k in rows} == {k: v[1] for k, v in rows.items()}
+    assert got["p/COPYING.txt"].is_license_file and got["p/q"].inherited_license == "MIT" and not got["lgpl"].is_license_file
+
+
 def test_full_license_files(spark):
     from wayloom.llm.license_texts import FULL
 
