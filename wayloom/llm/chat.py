@@ -7,7 +7,8 @@ read back without loss. Segments are (text, loss) pieces whose concatenation is
 
 Defined results: a null text is empty; a null role is the role with an empty name; turns are
 ordered by turn, then role, then text, null turns first; repeated rows are turns of their own;
-a null conv_id is one conversation; an empty table gives no rows.
+rows with a null conv_id are one conversation; texts of any length are whole, and a conversation is
+one row of the result, so it has to fit a task; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

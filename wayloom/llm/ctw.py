@@ -17,7 +17,9 @@ the answers are joined on those keys and come back to the block.
 Words and pairs are keyed by 64 bits (pairs exactly, words by hash).
 
 Defined results: null texts are empty, and an empty text is the end symbol alone; without
-training rows every estimate is one half for each bit; an empty table gives no rows.
+training rows every estimate is one half for each bit; repeated rows are learned from and scored
+each; very long texts are read in a step of their own; other columns are left out, so their names
+can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

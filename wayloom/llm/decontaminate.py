@@ -10,7 +10,9 @@ The benchmark is broadcast in slices of at most ``SLICE`` bytes each; more slice
 passes, with the accumulated hits carried in the rows, so no side grows without a bound.
 
 Defined results: null texts and texts without words have no windows and no hits; an item
-without words matches nothing; a null item id counts as the empty string.
+without words matches nothing; a null item id counts as the empty string; repeated rows give
+repeated results; a very long text is a segment of its own; columns of any name are carried, and
+input columns named like an output give way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,7 +90,8 @@ class Segment:
                 break
             other = self.postings[self.begin[row[o]] : self.begin[row[o] + 1]]
             want = at + (o - r)
-            k = np.searchsorted(other, want - slop)
+            # never the text before: its words may be within the distance, too
+            k = np.searchsorted(other, np.maximum(want - slop, self.words.first[self.words.text[at]]))
             ok = k < len(other)
             hit = np.where(ok, other[np.minimum(k, max(len(other) - 1, 0))] if len(other) else -1, -1)
             ok &= hit <= want + slop

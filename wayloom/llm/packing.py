@@ -11,7 +11,9 @@ Each partition of the input is packed by itself, without a shuffle; a lost task
 rows into the same sequences again. White space, and an ASCII letter next to other visible
 ASCII characters, end a token, so such words are tokenised once and put together by 64-bit hashes; the cache of a worker changes no result.
 
-Defined results: null and empty texts are one end token; an empty table gives no rows.
+Defined results: null and empty texts are one end token; a null doc_id stays null; of repeated
+rows each is packed; a very long text is a step of its own and is cut into windows; other columns
+are left out, so their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,10 @@ an L1-penalised logistic regression keeps few of the rules and statistics, and w
 is compiled into one Spark column expression over the statistics.
 
 Defined results: null and empty texts have all-zero statistics and get a score like any other;
-without labelled rows of both classes the score is the share of label 1 (0.5 without any).
+without labelled rows of both classes the score is the share of label 1 (0.5 without any); a text
+of any length is read whole; of repeated rows each gets its score, and of rows with one labelled
+id the one with the smallest statistics is learned from; of contradicting labels the greater
+counts; other columns are left out, so their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -182,7 +185,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """Fits on at most ``max_labelled`` rows of ``labels`` (doc_id and a 0/1 column), ``stats`` having doc_id and stats."""
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = stats.select("doc_id", "stats.*").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # at most max_labelled rows
+    rows = stats.select("doc_id", "stats.*").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*STATS, "y")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toPandas()  # at most max_labelled rows
     return fit(rows[list(STATS)].to_numpy(float).reshape(len(rows), len(STATS)), rows["y"].to_numpy(float))
 
 
