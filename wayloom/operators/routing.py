@@ -252,8 +252,8 @@ def paths(edges: DataFrame, pairs: DataFrame, hierarchy: tuple[DataFrame, DataFr
     """req_id, source, target, valid, seconds and path_nodes of each request (req_id, source, target).
 
     The network is contracted first, unless ``hierarchy`` gives (ranks, edges) of :func:`contract`. A request
-    whose ends are the same node is valid with no length; one that has no path, or an unknown or null end,
-    isn't valid. Of routes of equal length any may be given.
+    whose ends are the same node is valid with no length; one that has no path, or an end that is null or
+    on no road to another node, isn't valid. Of routes of equal length any may be given.
     """
     ranks, full = hierarchy or contract_cheapest(edges)
     pairs = pairs.select("req_id", F.col("source").cast("long"), F.col("target").cast("long"))
@@ -263,7 +263,9 @@ def paths(edges: DataFrame, pairs: DataFrame, hierarchy: tuple[DataFrame, DataFr
     r, e = ranks.select("node", "rank").toArrow(), full.select("src", "dst", "seconds", F.coalesce("mid_node", F.lit(-1).cast("long")).alias("mid")).toArrow()
     held = edges.sparkSession.sparkContext.broadcast(Hierarchy(*(t.column(c).to_numpy() for t, c in ((r, "node"), (r, "rank"), (e, "src"), (e, "dst"), (e, "seconds"), (e, "mid")))))
     # an origin of many requests is split by their numbers, and its requests in a task share one search
-    dealt = pairs.repartitionByRange("source", "req_id").sortWithinPartitions("source")
+    spark = edges.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few requests are much work, too
+    dealt = pairs.repartitionByRange(tasks, "source", "req_id").sortWithinPartitions("source")
     return dealt.mapInArrow(_search(held), SCHEMA)
 
 
@@ -332,7 +334,7 @@ def contract_cheapest(edges: DataFrame, rounds: int | None = None, pairs: int |
     exact in any case.
     """
     now = cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("seconds").alias("seconds")).withColumn("mid_node", F.lit(None).cast("long")))
-    loose = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    loose = cut(now.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     full, ranks, r = now, None, 0
     while rounds is None or r < rounds:
         r += 1
