@@ -113,6 +113,11 @@ def test_decontamination_by_brute_force(spark):
     near = decontaminate.matches(docs(spark, "tau so rho", "tau a b c d e rho", "x rho", "tau rho", "rho x", "tau tau"), bench, slop=2)
     assert [len(r.spans) for r in near.orderBy("doc_id").collect()] == [1, 0, 0, 1, 0, 0]
     assert decontaminate.matches(d, bench.limit(0)).where("size(spans) > 0").count() == 0
+    postings = decontaminate.index(d, columns=["doc_id"])  # one stored index answers several benchmarks
+    lists = postings.where("term is not null").agg(F.sum(F.octet_length("at"))).first()[0]
+    assert lists == 4 * sum(len(low(t)) for t in texts)
+    for item, hits in ((" ".join(WORDS[:12]), 1), ("rho tau", 2), ("nowhere at all", 0)):
+        assert decontaminate.search(postings, spark.createDataFrame([(item, item)], "item_id string, text string")).count() == hits
 
 
 def test_secrets(spark):

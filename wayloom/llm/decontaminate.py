@@ -1,13 +1,17 @@
-"""Benchmark decontamination with positional inverted indexes.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is indexed in segments: a segment is a run of whole documents inside one task, and
-its index maps each benchmark term to the sorted word positions where it occurs. A window of a
-benchmark item is looked up by starting from its rarest term in the segment and intersecting
-the offset-adjusted lists of the others in order of rarity. Segments need no shuffle, and
-rows never leave their task. Terms are 64-bit word hashes.
+The index is a stored table: the corpus is cut into segments, a segment being a run of whole
+texts of one task, and each segment has a posting list (sorted word positions) for every term
+in it. Lists of one segment stay together, so a very common term makes one bounded list in
+each segment and never a list that one task must hold. A benchmark asks for the lists of its own
+terms only; they meet by segment, and each window starts from its rarest term there and
+intersects the offset-adjusted lists of the others in order of rarity. One index answers any
+number of benchmarks. Terms are 64-bit word hashes.
 
-The benchmark is broadcast in slices of at most ``SLICE`` bytes each; more slices mean more
-passes, with the accumulated hits carried in the rows, so no side grows without a bound.
+How it scales. Lists hold four bytes a word and are written once; texts are not shuffled:
+rows that a bitmap clears of any hit pass it by, the others meet their spans by row number.
+The benchmark is broadcast in slices of at most ``SLICE`` bytes each; more slices
+mean more passes over the lists, never over the texts, and each slice is freed before the next.
 
 Defined results: null texts and texts without words have no windows and no hits; an item
 without words matches nothing; a null item id counts as the empty string; repeated rows give
@@ -21,15 +25,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from wayloom.llm.shared import carry, restored, ship, store
-from wayloom.llm.text import ALNUM, Words, chunks, norm_bytes
+from wayloom.llm.shared import Bitmap, carry, ship, store
+from wayloom.llm.text import ALNUM, Words, chunks, norm_bytes, signed
 
 #: Bytes of benchmark text in one broadcast.
 SLICE = 16 << 20
 WINDOW = 13
+#: Columns of the index besides those of the documents. A row is a document (rid, n_words), a
+#: posting list (seg, term, at) or the starts of a segment's texts (seg, at).
+_INDEX = [StructField(n, t) for n, t in (("rid", LongType()), ("n_words", LongType()), ("seg", LongType()), ("term", LongType()), ("at", BinaryType()))]
+_SPANS = "array<struct<item_id:string,start:long,end:long>>"
+_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _lists(w: Words) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Terms of a segment, their positions, and where its texts start. Texts are one position apart, so no phrase crosses them."""
+    h = signed(w.hashes())
+    order = np.argsort(h, kind="stable")
+    terms, begin = np.unique(h[order], return_index=True)
+    at = (w.text + np.arange(len(h)))[order].astype(np.int32)
+    cuts = 4 * np.append(begin, len(h)).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(cuts), pa.py_buffer(at)])
+    return terms, lists, (w.first + np.arange(len(w.first))).astype(np.int32)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.name for f in _INDEX]
+    row = TaskContext.get().partitionId() << 40
+    for b in batches:
+        own = [i for i, c in enumerate(b.schema.names) if c != "_text"]
+        columns = [b.schema.names[i] for i in own]
+
+        def out(n: int, b=b, own=own, columns=columns, **new) -> pa.RecordBatch:
+            kinds = {"at": pa.binary()}
+            more = [new.get(c, pa.nulls(n, kinds.get(c, pa.int64()))) for c in names]
+            kept = [b.column(i) if "rid" in new else pa.nulls(n, b.column(i).type) for i in own]
+            return pa.RecordBatch.from_arrays([*more, *kept], names=[*names, *columns])
+
+        n_words = np.zeros(b.num_rows, dtype=np.int64)
+        for first, bodies in chunks(norm_bytes(t.as_py()) for t in b.column(b.schema.names.index("_text"))):
+            w = Words(bodies, ALNUM)
+            n_words[first : first + len(bodies)] = np.diff(w.first)
+            if len(w.start):
+                terms, lists, starts = _lists(w)
+                yield out(1, seg=pa.array([row + first]), at=pa.array([starts.tobytes()], pa.binary()))
+                yield out(len(terms), seg=pa.array(np.full(len(terms), row + first)), term=pa.array(terms), at=lists)
+        yield out(b.num_rows, rid=pa.array(row + np.arange(b.num_rows)), n_words=pa.array(n_words))
+        row += b.num_rows
+
+
+def index(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The stored positional index of whole texts, with the documents' columns (or those named) as _c0, _c1, ..."""
+    ship(docs.sparkSession)
+    rows = carry(docs)
+    text = F.col(f"_c{docs.columns.index(text_col)}").cast("string").alias("_text")
+    rows = rows.select(text, *[f"_c{i}" for i, c in enumerate(docs.columns) if columns is None or c in columns])
+    schema = StructType(_INDEX + [StructField(f.name, f.dataType) for f in rows.schema.fields[1:]])
+    return store(rows.mapInArrow(_index, schema), "postings")
 
 
 class Phrases:
@@ -37,9 +94,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         w = Words([norm_bytes(t) for _, t in items], ALNUM)
-        self.vocab, term = np.unique(w.hashes(), return_inverse=True)
-        self.sieve = np.zeros(1 << 20, dtype=bool)
-        self.sieve[(self.vocab & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.vocab, term = np.unique(signed(w.hashes()), return_inverse=True)
         by: dict[bytes, set[str]] = {}
         for k, (item, _) in enumerate(items):
             words = term[w.first[k] : w.first[k + 1]].astype(np.int32)
@@ -52,105 +107,110 @@ class Phrases:
 
 
 class Segment:
-    """Positional postings of the benchmark's terms over a run of texts."""
-
-    def __init__(self, bodies: list[bytes], phrases: Phrases):
-        self.words = w = Words(bodies, ALNUM)
-        h, p = w.hashes(), phrases
-        self.term = np.full(len(h), -1, dtype=np.int32)
-        if len(p.vocab):
-            some = np.flatnonzero(p.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(p.vocab, h[some]), len(p.vocab) - 1)
-            ok = p.vocab[at] == h[some]
-            self.term[some[ok]] = at[ok]
-        has = np.flatnonzero(self.term >= 0)
-        self.postings = has[np.argsort(self.term[has], kind="stable")]
-        self.df = np.bincount(self.term[has], minlength=len(p.vocab))
-        self.begin = np.concatenate([[0], np.cumsum(self.df)])
+    """The posting lists of one segment that a benchmark asked for."""
+
+    def __init__(self, vocab: np.ndarray, terms: np.ndarray, lists: list[bytes], starts: np.ndarray):
+        self.starts = starts
+        number = np.searchsorted(vocab, terms)
+        self.lists = {int(k): np.frombuffer(x, dtype=np.int32) for k, x in zip(number, lists, strict=True)}
+        self.df = np.zeros(len(vocab), dtype=np.int64)
+        for k, x in self.lists.items():
+            self.df[k] = len(x)
 
     def find(self, row: np.ndarray) -> np.ndarray:
-        """Positions where the exact phrase starts, inside one text."""
+        """Positions where the exact phrase starts."""
         order = np.argsort(self.df[row], kind="stable")
-        r = order[0]
-        at = self.postings[self.begin[row[r]] : self.begin[row[r] + 1]] - r
-        at = at[(at >= 0) & (at + len(row) <= len(self.term))]
+        at = self.lists[row[order[0]]] - order[0]
         for o in order[1:]:
             if not len(at):
                 break
-            at = at[self.term[at + o] == row[o]]
-        return at[self.words.text[at] == self.words.text[at + len(row) - 1]] if len(at) else at
+            other = self.lists[row[o]]
+            k = np.minimum(np.searchsorted(other, at + o), len(other) - 1)
+            at = at[other[k] == at + o]
+        return at
 
     def near(self, row: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term within ``slop`` words of its place in the phrase."""
+        """Positions of the rarest term with every other term of the same text within ``slop`` words of its place in the phrase."""
         order = np.argsort(self.df[row], kind="stable")
-        r = order[0]
-        at = self.postings[self.begin[row[r]] : self.begin[row[r] + 1]]
+        at = self.lists[row[order[0]]]
         for o in order[1:]:
             if not len(at):
                 break
-            other = self.postings[self.begin[row[o]] : self.begin[row[o] + 1]]
-            want = at + (o - r)
-            # never the text before: its words may be within the distance, too
-            k = np.searchsorted(other, np.maximum(want - slop, self.words.first[self.words.text[at]]))
-            ok = k < len(other)
-            hit = np.where(ok, other[np.minimum(k, max(len(other) - 1, 0))] if len(other) else -1, -1)
-            ok &= hit <= want + slop
-            at, hit = at[ok], hit[ok]
-            at = at[self.words.text[at] == self.words.text[hit]]
+            other, want, t = self.lists[row[o]], at + (o - order[0]), self.text(at)
+            k = np.searchsorted(other, np.maximum(want - slop, self.starts[t]))
+            hit = np.append(other, np.iinfo(np.int32).max)[k]
+            at = at[(hit <= want + slop) & (hit < self.starts[t + 1])]
         return at
 
-
-def _scan(phrases, slop: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = phrases.value
-        for b in batches:
-            names = b.schema.names
-            spans = [x or [] for x in b.column(names.index("spans")).to_pylist()]
-            n_words = np.zeros(b.num_rows, dtype=np.int64)
-            for first, bodies in chunks((norm_bytes(t) for t in b.column(names.index("_text")).to_pylist())):
-                seg = Segment(bodies, p)
-                n_words[first : first + len(bodies)] = np.diff(seg.words.first)
-                for n, rows, items in p.groups:
-                    for k in np.flatnonzero((seg.df[rows] > 0).all(axis=1)):
-                        for i in seg.find(rows[k]) if slop is None else seg.near(rows[k], slop):
-                            t = seg.words.text[i]
-                            s = int(i - seg.words.first[t])
-                            spans[first + t].extend({"item_id": x, "start": s, "end": s + n if slop is None else s + 1} for x in items[k])
-            new = {"spans": pa.array(spans, type=_ARROW), "n_words": pa.array(n_words)}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(j)) for j, c in enumerate(names) if c != "_text"], names=[c for c in names if c != "_text"])
+    def text(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def _found(phrases: Broadcast, slop: int | None):
+    def run(t: pa.Table) -> pa.Table:
+        p, terms, lists = phrases.value, t.column("term").to_pylist(), t.column("at").to_pylist()
+        k = terms.index(None)
+        starts = np.frombuffer(lists.pop(k), dtype=np.int32)
+        terms.pop(k)
+        seg, first = Segment(p.vocab, np.array(terms, dtype=np.int64), lists, starts), t.column("seg")[0].as_py()
+        spans: dict[int, list[dict]] = {}
+        for n, rows, items in p.groups:
+            for k in np.flatnonzero((seg.df[rows] > 0).all(axis=1)):
+                at = seg.find(rows[k]) if slop is None else seg.near(rows[k], slop)
+                for text, i in zip(seg.text(at).tolist(), at.tolist(), strict=True):
+                    s = i - int(starts[text])
+                    spans.setdefault(text, []).extend({"item_id": x, "start": s, "end": s + n if slop is None else s + 1} for x in items[k])
+        hit = sorted(spans)
+        n_words = [int(starts[x + 1] - starts[x]) - 1 for x in hit]
+        return pa.table({"rid": pa.array([first + x for x in hit], pa.int64()), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array([spans[x] for x in hit], _ARROW)})
 
     return run
 
 
-_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_SPANS = "array<struct<item_id:string,start:long,end:long>>"
-
-
-def _matched(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, slop: int | None, slice_bytes: int) -> DataFrame:
-    """Carried rows with n_words and spans."""
-    ship(docs.sparkSession)
-    spark, text = docs.sparkSession, f"_c{docs.columns.index(text_col)}"
+def search(postings: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
+    """The rows of an index that hold benchmark windows: rid, n_words, spans; a stored table."""
+    spark = postings.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * total // slice_bytes) if total > slice_bytes else 1
-    rows = carry(docs).withColumns({"spans": F.lit(None).cast(_SPANS), "n_words": F.lit(0).cast("long")})
+    lists = postings.where("seg is not null").select("seg", "term", "at")
+    found = []
     for k in range(n):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else bench
-        held = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part.toLocalIterator()], window))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        rows = rows.withColumn("_text", F.col(text).cast("string")).mapInArrow(_scan(held, slop), schema)
-        if k + 1 < n:
-            rows = store(rows, "hits")
-    return rows
+        phrases = Phrases([(r[0], r[1]) for r in part.toLocalIterator()], window)  # one slice
+        terms = spark.createDataFrame(pa.table({"term": phrases.vocab}))
+        held = spark.sparkContext.broadcast(phrases)
+        asked = lists.where("term is not null").join(F.broadcast(terms), "term", "left_semi").unionByName(lists.where("term is null"))
+        found.append(store(asked.groupBy("seg").applyInArrow(_found(held, slop), f"rid long, n_words long, spans {_SPANS}"), "hits"))
+        held.destroy()
+    if n == 1:
+        return found[0]
+    rows = found[0]
+    for x in found[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy("rid", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _asked(found: DataFrame):
+    """Whether a row may be among ``found``: texts of all others are never shuffled."""
+    return Bitmap(found.select(F.xxhash64("rid").alias("key")), "key").has(F.xxhash64("rid"))
+
+
+def _own(docs: DataFrame, columns: list[str] | None, *more: str) -> list:
+    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in more and (columns is None or c in columns)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE) -> DataFrame:
-    """The rows of ``docs`` with n_words and spans (item_id, start, end: word positions).
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE, columns: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns, or those named) with n_words and spans (item_id, start, end: word positions).
 
     ``slop`` None gives exact phrases; a number gives proximity matches: the position of the
     rarest term of a window all of whose terms lie within so many words of their places.
     """
-    return restored(_matched(docs, benchmark, text_col, window, slop, slice_bytes), docs, "n_words", "spans")
+    postings = index(docs, text_col, columns)
+    rows, found = postings.where("rid is not null").drop("seg", "term", "at"), search(postings, benchmark, window, slop, slice_bytes)
+    asked, none = _asked(found), F.array().cast(_SPANS)
+    hit = rows.where(asked).join(found.select("rid", "spans"), "rid", "left").withColumn("spans", F.coalesce("spans", none))
+    return rows.where(~asked).withColumn("spans", none).unionByName(hit).select(*_own(docs, columns, "n_words", "spans"), "n_words", "spans")
 
 
 def hit_counts(df: DataFrame) -> DataFrame:
@@ -167,4 +227,8 @@ def hit_counts(df: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their own columns."""
-    return restored(hit_counts(_matched(docs, benchmark, text_col, WINDOW, None, SLICE)).where(~F.col("contaminated")), docs)
+    postings = index(docs, text_col)
+    rows = postings.where("rid is not null").drop("n_words", "seg", "term", "at")
+    gone = hit_counts(search(postings, benchmark)).where("contaminated").select("rid")
+    asked = _asked(gone)
+    return rows.where(~asked).unionByName(rows.where(asked).join(gone, "rid", "left_anti")).select(*_own(docs, None))
