@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from wayloom.llm.shared import Bitmap, carry, ship, store
+from wayloom.llm.shared import Bitmap, carry, restored, ship, store
 from wayloom.llm.text import ALNUM, Words, chunks, norm_bytes, signed
 
 #: Bytes of benchmark text in one broadcast.
@@ -191,13 +191,9 @@ def search(postings: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop
     return rows.groupBy("rid", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _asked(found: DataFrame):
+def _asked(found: DataFrame, key: str):
     """Whether a row may be among ``found``: texts of all others are never shuffled."""
-    return Bitmap(found.select(F.xxhash64("rid").alias("key")), "key").has(F.xxhash64("rid"))
-
-
-def _own(docs: DataFrame, columns: list[str] | None, *more: str) -> list:
-    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in more and (columns is None or c in columns)]
+    return Bitmap(found.select(F.xxhash64(key).alias("key")), "key").has(F.xxhash64(key))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, slop: int | None = None, slice_bytes: int = SLICE, columns: list[str] | None = None) -> DataFrame:
@@ -208,9 +204,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", windo
     """
     postings = index(docs, text_col, columns)
     rows, found = postings.where("rid is not null").drop("seg", "term", "at"), search(postings, benchmark, window, slop, slice_bytes)
-    asked, none = _asked(found), F.array().cast(_SPANS)
+    asked, none = _asked(found, "rid"), F.array().cast(_SPANS)
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_words", "spans") and (columns is None or c in columns)]
     hit = rows.where(asked).join(found.select("rid", "spans"), "rid", "left").withColumn("spans", F.coalesce("spans", none))
-    return rows.where(~asked).withColumn("spans", none).unionByName(hit).select(*_own(docs, columns, "n_words", "spans"), "n_words", "spans")
+    return rows.where(~asked).withColumn("spans", none).unionByName(hit).select(*own, "n_words", "spans")
 
 
 def hit_counts(df: DataFrame) -> DataFrame:
@@ -226,9 +223,14 @@ def hit_counts(df: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their own columns."""
-    postings = index(docs, text_col)
-    rows = postings.where("rid is not null").drop("n_words", "seg", "term", "at")
-    gone = hit_counts(search(postings, benchmark)).where("contaminated").select("rid")
-    asked = _asked(gone)
-    return rows.where(~asked).unionByName(rows.where(asked).join(gone, "rid", "left_anti")).select(*_own(docs, None))
+    """The rows of ``docs`` that aren't contaminated, with their own columns.
+
+    A text decides alone, so the index carries a digest of 128 bits for each row, and no text is stored again.
+    """
+    text = F.col(f"_c{docs.columns.index(text_col)}").cast("string")
+    rows = carry(docs).withColumn("_md5", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    postings = index(rows.select("_md5", text.alias("_t")), "_t", ["_md5"])
+    found = hit_counts(search(postings, benchmark)).where("contaminated").select("rid")
+    gone = store(postings.where("rid is not null").join(found, "rid").select(F.col("_c0").alias("_md5")).distinct(), "gone")
+    asked = _asked(gone, "_md5")
+    return restored(rows.where(~asked).unionByName(rows.where(asked).join(gone, "_md5", "left_anti")), docs)
