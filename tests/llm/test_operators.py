@@ -209,6 +209,35 @@ def test_language_id_held_out(spark):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
+def test_language_id_by_brute_force(spark):
+    """Plain sets of n-grams instead of filters: same languages, scores up to what false positives leave."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        b = b" " + " ".join(text.lower().split()).encode() + b" "
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts[r.lang].update(grams(r.text))
+    known = {lang: {g for g, n in c.items() if n >= langid.SHARE * c.total()} for lang, c in sorted(counts.items())}
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine = got[r.doc_id]
+        assert mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (mine.lang_pred, mine.score) == ("und", 0)
+            continue
+        hits = {lang: sum(g in k for g in grams(r.text)) for lang, k in known.items()}
+        best, second = sorted(hits.values(), reverse=True)[:2]
+        if best > second * 1.02 + 2:
+            assert hits[mine.lang_pred] == best
+        if best:
+            assert abs(mine.score - best / sum(hits.values())) < 0.02 + 2 / sum(hits.values())  # a few false positives
+
+
 def test_near_dedup_by_brute_force(spark):
     d = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -378,6 +407,50 @@ def test_quality(spark):
     assert quality.score(d.limit(0), labels).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of the quality operator, counted one by one."""
+    raw = (text or "").encode()
+    words, lines, size = re.findall(rb"[^ \t-\r]+", raw), raw.split(b"\n"), max(1, len(raw))
+    low, n = [w.lower() for w in words], max(1, len(words))
+    punct = [chr(b).isascii() and not chr(b).isalnum() and b > 32 for b in raw]
+    share = lambda f: sum(map(f, raw)) / size
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / n, share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), sum(punct) / size, share(lambda b: b in b"#$%&*@^~_=+<>{}[]|\\/"),
+        share(lambda b: b >= 128), share(lambda b: b in b" \t\n\v\f\r"), np.log1p(len(raw) / len(lines)), len(set(low)) / n, max(Counter(low).values(), default=0) / n, sum(a == b for a, b in zip(low, low[1:])) / n,
+        1 - len(set(lines)) / len(lines), sum(w[-1] < 128 and not chr(w[-1]).isalnum() and w[-1] > 32 for w in words) / n, share(lambda b: b == 124), sum(len(w) <= 2 for w in words) / n, sum(len(w) >= 15 for w in words) / n, share(lambda b: b == 10),
+    ]
+
+
+def test_quality_by_brute_force(spark):
+    """Statistics counted one by one, the model applied rule by rule, no label of a held-out row in it."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in rows}
+    odd = np.array([plain_statistics(t) for t in ODD])
+    assert np.allclose(quality.statistics(ODD), odd) and np.allclose(quality.statistics([r.text for r in rows]), [x[r.doc_id] for r in rows])
+    some = sorted(i for i in x if labels.get(i) is not None)
+    # the operator's own statistics, so that thresholds fall on the same side
+    own = dict(zip(x, quality.statistics([r.text for r in rows]), strict=True))
+    model = quality.fit(np.array([own[i] for i in some]), np.array([labels[i] for i in some], dtype=float))
+    assert model.rules or model.linear
+
+    def plain(v):
+        total = model.bias + sum(w for rule, w in model.rules if all((v[i] > cut) == above for i, above, cut in rule.terms))
+        total += sum((min(max(v[i], low), high) - low) * w / max(high - low, 1e-9) for i, low, high, w in model.linear)
+        return 1 / (1 + np.exp(-min(max(total, -30), 30)))
+
+    got = queries.op1_quality(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(x)
+    for r in got:
+        assert abs(r.score - plain(own[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    out = queries.op1_quality(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
+    assert out.where("predicted = quality").count() >= 0.9 * out.count() > 0
+
+
 def test_licenses(spark):
     rows = [("LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "words and words"), ("a/x.txt", "# Licensed under the Apache License, Version 2.0\n" + "body " * 90), ("z/y.txt", "the version of things"), (None, None), ("q/r", "")]
     d = spark.createDataFrame(rows, "p string, text string").withColumn("license", F.lit("mine"))
