@@ -62,3 +62,17 @@ def test_time_and_projection(spark):
     assert [r[0] for r in got] == ["59 seconds", "60 seconds", "1 minutes", "1 minutes 60 seconds", "59 minutes 59 seconds", "1 hours 0 minutes", "2 hours 3 minutes"]
     t, _, _ = geo.project(*(F.lit(float(x)) for x in (1, 5, 0, 0, 0, 0)))
     assert spark.range(1).select(t).first()[0] == 0.0
+
+
+def test_times_of_prices_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+    from wayloom import catalog
+
+    # a seventh of the first three prints as x.x5, but the doubles times ten are halves or not as SQL sees them
+    prices = ", ".join(f"({i}::bigint, 1, {i}::bigint, 1::bigint, {p}::double)" for i, p in enumerate((32838.18, 43140.74, 96599.65, 6296.15, 6534.15, 0.0, 419.65)))
+    duckdb.sql(f"copy (select * from (values {prices}) t(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got = catalog.QUERIES["format_time"](spark, str(tmp_path)).toPandas().sort_values("l_orderkey")["spelled"].tolist()
+    want = duckdb.sql(catalog.ORACLE_SQL["format_time"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet'") + " order by l_orderkey").fetchall()
+    assert got == [r[4] for r in want]
+    values = spark.createDataFrame([(2.25,), (-2.25,), (0.5,), (1e300,), (None,)], "v double").select(geo.rounded(F.col("v"), 1)).collect()
+    assert [r[0] for r in values] == [2.3, -2.3, 0.5, 1e300, None]

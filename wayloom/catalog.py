@@ -338,8 +338,8 @@ _SECONDS = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_exten
 @query(f"with s as ({_SECONDS}), m as (select *, cast(floor(seconds / 60) as bigint) as m, cast(floor(seconds % 60 + 0.5e0) as bigint) as r from s) select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when seconds < 60 then cast(cast(floor(seconds + 0.5e0) as bigint) as varchar) || ' seconds' when m < 60 then m || ' minutes' || case when r > 0 then ' ' || r || ' seconds' else '' end else (m // 60) || ' hours ' || (m % 60) || ' minutes' end as spelled from m")
 def format_time(spark, sf_dir):
     """Durations in words."""
-    s = spark.sql(_SECONDS.replace("from lineitem", "from {l}"), l=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.format_time(F.col("seconds")).alias("spelled"))
+    seconds = geo.rounded(F.col("l_extendedprice") / 7, 1)
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.format_time(seconds).alias("spelled"))
 
 
 # ---- search

@@ -29,6 +29,14 @@ def clamp(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(v, high))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """A double rounded half away from zero as SQL engines scale it: by the binary product, not by the decimals it prints as."""
+    scaled = F.abs(v) * F.lit(10.0**digits)
+    whole = F.floor(scaled)
+    up = F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole)
+    return F.when(scaled < 2.0**52, F.signum(v) * up / F.lit(10.0**digits)).otherwise(v)  # larger ones have no fraction
+
+
 def quantize(degrees: Column) -> Column:
     """Degrees as an integer, rounded half away from zero."""
     return F.round(degrees * F.lit(QUANTUM), 0).cast("int")
