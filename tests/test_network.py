@@ -230,3 +230,28 @@ def test_stream(spark, tmp_path, edges):
     q = snap_stream(stream, edges, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def joined_rows(df):
+    """Most rows that a join of a collected query put out."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_numbers_asked_often_are_answered_once(spark):
+    ranges = spark.range(2000).selectExpr("9 - id % 10 as id", "'pho a' as street_norm", "cast(id % 2 as int) as num_start", "21 as num_end", "21d + 9 - id % 10 as lat_start", "105d as lon_start", "23d as lat_end", "106d as lon_end", "if(id % 2 = 0, 'even', 'all') as interp_type")
+    asked = spark.range(3000).selectExpr("id as req_id", "'pho a' as street_norm", "11 as number", "case id % 4 when 0 then 'even' when 1 then 'odd' when 2 then 'all' end as interp_type")
+    out = address.interpolate(asked, ranges)
+    got = {(r.req_id % 4, round(r.lat, 6), round(r.lon, 6)) for r in out.collect()}
+    assert got == {(0, 22.52381, 105.52381), (1, 0.0, 0.0), (2, 22.0, 105.5), (3, 0.0, 0.0)}
+    assert joined_rows(out) <= 3000

@@ -36,13 +36,18 @@ def interpolate(requests: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     if "interp_type" not in requests.columns:
         requests = requests.withColumn("interp_type", F.lit("all"))
-    r, q = ranges.alias("r"), requests.alias("q")
+    label = F.when(F.col("interp_type").isin("even", "odd"), F.col("interp_type")).when(F.col("interp_type").isNotNull(), "all")
+    # a number asked more than once is answered once; of ranges of the same numbers and label the smallest id wins for every number
+    keys = ["street_norm", "number", "label"]
+    requests = requests.withColumn("label", label)
+    q = requests.where("street_norm is not null and number is not null").select(*keys).distinct().alias("q")
+    ends = ["lat_start", "lon_start", "lat_end", "lon_end"]
+    r = ranges.groupBy("street_norm", "interp_type", "num_start", "num_end").agg(F.min(F.struct("id", *ends)).alias("v")).alias("r")
     on = (F.col("q.street_norm") == F.col("r.street_norm")) & F.col("q.number").between(F.col("r.num_start"), F.col("r.num_end"))
-    on = on & (~F.col("q.interp_type").isin("even", "odd") | (F.col("q.interp_type") == F.col("r.interp_type")))
-    key = F.struct(F.abs(F.col("r.num_start") + F.col("r.num_end") - 2 * F.col("q.number")).alias("k"), F.col("r.id").alias("id"), *[F.col(f"r.{c}").alias(c) for c in ("num_start", "num_end", "lat_start", "lon_start", "lat_end", "lon_end")], F.col("q.number").alias("number"))
-    best = q.join(r, on).groupBy("q.req_id").agg(F.min(key).alias("b"))
+    on = on & ((F.col("q.label") == "all") | (F.col("q.label") == F.col("r.interp_type")))
+    key = F.struct(F.abs(F.col("r.num_start") + F.col("r.num_end") - 2 * F.col("q.number")).alias("k"), F.col("r.v.id").alias("id"), F.col("r.num_start").alias("num_start"), F.col("r.num_end").alias("num_end"), *[F.col(f"r.v.{c}").alias(c) for c in ends], F.col("q.number").alias("number"))
+    best = q.join(r, on).groupBy(*[F.col(f"q.{c}").alias(c) for c in keys]).agg(F.min(key).alias("b"))
     t = F.when(F.col("b.num_start") == F.col("b.num_end"), 0.0).otherwise((F.col("b.number") - F.col("b.num_start")) / (F.col("b.num_end") - F.col("b.num_start")))
     along = lambda c: (F.col(f"b.{c}_start") + t * (F.col(f"b.{c}_end") - F.col(f"b.{c}_start"))).alias(c)
-    got = best.select("req_id", along("lat"), along("lon"))
-    return requests.select("req_id").join(got, "req_id", "left").select("req_id", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"))
-
+    got = best.select(*keys, along("lat"), along("lon"))
+    return requests.select("req_id", *keys).join(got, keys, "left").select("req_id", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"))
