@@ -255,3 +255,16 @@ def test_numbers_asked_often_are_answered_once(spark):
     got = {(r.req_id % 4, round(r.lat, 6), round(r.lon, 6)) for r in out.collect()}
     assert got == {(0, 22.52381, 105.52381), (1, 0.0, 0.0), (2, 22.0, 105.5), (3, 0.0, 0.0)}
     assert joined_rows(out) <= 3000
+
+
+def test_few_origins_need_no_hierarchy(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("contracted")
+
+    monkeypatch.setattr(routing, "contract_cheapest", never)
+    roads = [(1, 2, 1.0), (2, -3, 1.0), (1, -3, 5.0), (-3, 4, 1.0), (7, 7, 1.0), (8, 9, 2.0)]
+    edges = spark.createDataFrame(roads, "src long, dst long, seconds double")
+    asked = [(1, 1, 4), (2, 1, 1), (3, 1, 8), (4, 7, 7), (5, None, 1), (6, 1, None), (7, 8, 9), (8, 99, 99), (9, -3, 4)]
+    got = {r.req_id: (r.valid, r.seconds, r.path_nodes) for r in routing.paths(edges, spark.createDataFrame(asked, "req_id long, source long, target long")).collect()}
+    no = (False, None, None)
+    assert got == {1: (True, 3.0, [1, 2, -3, 4]), 2: (True, 0.0, [1]), 3: no, 4: no, 5: no, 6: no, 7: (True, 2.0, [8, 9]), 8: no, 9: (True, 1.0, [-3, 4])}
