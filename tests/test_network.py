@@ -165,6 +165,15 @@ def test_routes_of_requests(spark, edges):
     assert api.route_coords(trips.limit(0), edges, nodes).count() == 0
 
 
+def test_snap_metres_are_rounded_by_millimetres(spark):
+    degrees = math.degrees(12.3496 / 6_371_000.0)  # 12.350 m, which makes 12.4; the metres themselves would make 12.3
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.01)], "osm_id long, lat double, lon double")
+    edges = spark.createDataFrame([(1, 2, 15, 60.0, 0.0, 0.0, 0.0, 0.01)], "src long, dst long, mode int, seconds double, lat_src double, lon_src double, lat_dst double, lon_dst double")
+    asked = spark.createDataFrame([(0, degrees, 0.002, degrees, 0.008, 1)], "req_id long, lat_a double, lon_a double, lat_b double, lon_b double, mode int")
+    r = api.route_coords(asked, edges, nodes).first()
+    assert (r.valid, r.snap_a_m, r.snap_b_m, r.time_min) == (True, 12.4, 12.4, 1.0)
+
+
 def test_ranges(spark):
     ways = spark.createDataFrame([(1, [10, 11, 12], "Phố A", "all"), (2, [12, 10], "Phố B", "odd"), (3, [10, 99], "X", "all"), (4, [10], "Y", "all")], "way_id long, node_ids array<long>, street string, interp_type string")
     nodes = spark.createDataFrame([(10, 21.0, 105.0, "1"), (12, 21.2, 105.4, "21B")], "osm_id long, lat double, lon double, house_number string")
