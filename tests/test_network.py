@@ -225,6 +225,20 @@ def test_map_file_to_tables(spark, tmp_path):
         tables.read(spark, str(tmp_path / "bad"), "edges")
 
 
+def test_ways_are_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(w, [w % 7, w % 5 + 7, w % 3 + 12, w % 3 + 12, w % 7], {"highway": "primary", "name": f"Đường {w}"} | ({"oneway": "-1"} if w % 4 == 0 else {}) | ({"addr:interpolation": "all"} if w % 9 == 0 else {})) for w in range(40)]
+    rdd = spark.sparkContext.parallelize(rows, 2).map(lambda r: (seen.add(1), r)[1])
+    ways = spark.createDataFrame(rdd, "way_id long, node_ids array<long>, tags map<string,string>")
+    nodes = spark.createDataFrame([(i, 21.0 + i / 100, 105.8 + i * i / 1000, {"addr:housenumber": str(i)}) for i in range(15)], "osm_id long, lat double, lon double, tags map<string,string>")
+    out, counters = etl.build(spark, ways, nodes, str(tmp_path / "out"))
+    assert seen.value == len(rows)
+    roads = etl.split_ways(spark.createDataFrame(rows, ways.schema))[0]
+    want = graph.road_edges(roads, roads.select("way_id", F.posexplode("node_ids").alias("pos", "node_id")), nodes)
+    columns = ("way_id", "pos", "src", "dst", "mode", "highway", "metres")
+    assert counters["edges_inserted"] > 0 and sorted(out["edges"].select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
 def test_search_ignores_punctuation(spark):
     places = spark.createDataFrame([(1, "Phố A", "", "cafe", 1.0, 2.0)], "id long, name string, name_vi string, type string, lat double, lon double").withColumn("name_norm", text.normalize(F.col("name")))
     asked = spark.createDataFrame([(1, "pho."), (2, "!!"), (3, "phô")], "query_id long, q string")

@@ -23,7 +23,11 @@ def resolved_ends(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolve_ranges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ranges from interpolation ways: both ends joined to their nodes, the smaller number first."""
-    both = resolved_ends(ways, nodes)
+    return ascending_ranges(resolved_ends(ways, nodes))
+
+
+def ascending_ranges(both: DataFrame) -> DataFrame:
+    """Ranges of a result of :func:`resolved_ends`."""
     turned = F.col("num_start") > F.col("num_end")
     swap = {f"{a}_{b}": F.when(turned, F.col(f"{a}_{c}")).otherwise(F.col(f"{a}_{b}")) for a in ("num", "lat", "lon") for b, c in (("start", "end"), ("end", "start"))}
     return valid_ranges(both.select("id", "street", "interp_type", *[v.alias(k) for k, v in swap.items()]))

@@ -29,24 +29,29 @@ def build(spark: SparkSession, ways: DataFrame, nodes: DataFrame, folder: str, h
     Returns the tables as read again, and counters: rows inserted into each, places without a name and
     interpolation ways that were skipped, and ranges whose two ends were resolved.
     """
-    roads, ranges = split_ways(ways)
+    raw = tables.cut(ways)  # every table asks them again
+    roads, ranges = split_ways(raw)
     good = roads.where(tags.accepted(F.col("highway")))
-    way_nodes = good.select("way_id", F.posexplode("node_ids").alias("pos", "node_id"))
+    way_nodes = good.select(F.explode("node_ids").alias("node_id"))
     tag = lambda c: F.col("tags")[c]
     tagged = nodes.select("osm_id", "lat", "lon", tag("name").alias("name"), tag("name:vi").alias("name_vi"), tag("amenity").alias("amenity"), tag("shop").alias("shop"), tag("tourism").alias("tourism"), tag("addr:housenumber").alias("house_number"))
     used = graph.needed_nodes(tagged.select("osm_id", "lat", "lon"), way_nodes)
-    edges = tables.cut(graph.road_edges(roads.select("way_id", "highway", "oneway", "junction"), way_nodes, used))
+    edges = tables.cut(graph.road_edges_of_lists(good, tagged.select("osm_id", "lat", "lon")))
     found = tables.cut(search.node_places(tagged).unionByName(search.street_places(good)))
-    ends = tagged.select("osm_id", "lat", "lon", "house_number")
+    ends = tables.cut(address.resolved_ends(ranges, tagged.select("osm_id", "lat", "lon", "house_number")))
     rows = {
         "nodes": used, "edges": edges.withColumn("weight", F.col("seconds")), "tiles": spatial.snap_index(edges),
-        "places": search.storable(found).withColumn("id", F.xxhash64("type", "osm_id", "name")), "addr_ranges": address.resolve_ranges(ranges, ends),
+        "places": search.storable(found).withColumn("id", F.xxhash64("type", "osm_id", "name")), "addr_ranges": address.ascending_ranges(ends),
     }
     if hierarchy_mode:
         ranks, full = routing.contract(edges, hierarchy_mode)
         rows |= {"ranks": ranks, "shortcuts": full.where("mid_node is not null").select("src", "dst", F.col("seconds").alias("weight"), F.lit(hierarchy_mode).alias("mode"), "mid_node")}
-    counters = {f"{n}_inserted": tables.write(df, folder, n) for n, df in rows.items()}
+    n_ranges, counters = ranges.count(), {}
+    for n, df in rows.items():
+        counters[f"{n}_inserted"] = tables.write(df, folder, n)
+        if n in (last := {"nodes": raw, "edges": edges}):  # no later table reads it
+            tables.drop(last[n])
     counters["places_skipped"] = found.count() - counters["places_inserted"]
-    counters["ranges_resolved"] = address.resolved_ends(ranges, ends).count()
-    counters["ranges_skipped"] = ranges.count() - counters["addr_ranges_inserted"]
+    counters["ranges_resolved"] = ends.count()
+    counters["ranges_skipped"] = n_ranges - counters["addr_ranges_inserted"]
     return {n: tables.read(spark, folder, n) for n in rows}, counters
