@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -396,6 +397,32 @@ def test_lm_base_scores(spark):
     assert ctw.score(d.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_block_memory():
+    """F op2: the answers to a block are held once, without a hash table beside them."""
+    import tracemalloc
+
+    n = 1_000_000
+    body = " ".join(WORDS * 40)
+    own = [np.unique(ctw.Stream([body.encode()], ctw.DEPTH).key), np.unique(ctw.signed(ctw.Words([body.encode()], ctw.BLACK).hashes()))]
+    more = np.setdiff1d(np.arange(n, dtype=np.int64) * 7919, own[0])
+    keys = [*own, more]
+    kinds = np.concatenate([np.full(len(k), kind, np.int32) for k, kind in zip(keys, (ctw.PAIR, ctw.WORD, ctw.PAIR), strict=True)])
+    known = pa.table({"block": np.zeros(len(kinds), np.int64), "kind": kinds, "key": np.concatenate(keys), "value": np.concatenate([np.full(len(own[0]), -1.0), np.full(len(own[1]), 3.0), np.full(len(more), -9.0)])})
+    texts = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [body, ""], "held_out": [False, True]})
+    first = ctw._score(ctw.DEPTH, 1, 10, 5)
+    with pytest.raises(ValueError):
+        first(texts, known.filter(pa.compute.not_equal(known.column("key"), int(own[0][3]))))
+    known = pa.concat_tables([known, pa.table({"block": [0], "kind": pa.array([ctw.PAIR], pa.int32()), "key": ctw.Stream([b""], ctw.DEPTH).key, "value": [-1.0]})]) if ctw.Stream([b""], ctw.DEPTH).key[0] not in own[0] else known
+    tracemalloc.start()
+    try:
+        got = first(texts, known).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0]["score"] == pytest.approx(-(len(body) + 1) / np.log(10)) and got[0]["n_known"] == len(WORDS) * 40 + 1 and got[1]["score"] == pytest.approx(-1 / np.log(10))
+    assert peak < 36 * n, peak / n
+
+
 def test_quality(spark):
     good, bad = " ".join(WORDS) + ".", "BUY!! NOW!! " * 9
     d = docs(spark, *[good + f" {i}" if i % 2 else bad + str(i) for i in range(300)], *ODD)

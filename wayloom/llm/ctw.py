@@ -27,13 +27,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.shared import ship, store
-from wayloom.llm.text import BLACK, Words, chunks, norm_bytes, signed
+from wayloom.llm.text import BLACK, Words, chunks, norm_bytes, release, signed
 
 DEPTH = 5
 #: Levels above the branches, and pairs in a shard of branches.
@@ -236,27 +236,44 @@ def _asks(depth: int):
     return run
 
 
+class _Answers:
+    """The answers of one kind to a block, in order of their keys: a hash table beside them would take as much memory again."""
+
+    def __init__(self, known: pa.Table, kind: int):
+        mine = pc.equal(known.column("kind"), kind)
+        key = known.column("key").filter(mine).to_numpy()
+        order = np.argsort(key)
+        self.key = key[order]
+        del key
+        self.value = known.column("value").filter(mine).to_numpy()[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        u, back = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.key, u)
+        if len(u) and (at[-1] >= len(self.key) or (self.key[at] != u).any()):
+            raise ValueError("a block's own pair or word came back without an answer")
+        return self.value[at][back]
+
+
 def _score(depth: int, n_train: int, n_tokens: int, n_distinct: int):
     log_total = np.log10(n_tokens + n_distinct + 1)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        kind, key, value = _arrays(known, "kind", "key", "value")
-        pair, word = pd.Index(key[kind == PAIR]), pd.Index(key[kind == WORD])
-        log_p, count = value[kind == PAIR] / np.log(10), value[kind == WORD]
+        pair, word = _Answers(known, PAIR), _Answers(known, WORD)
+        pair.value /= np.log(10)
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for _, bodies in chunks((_body(x.as_py()) for x in texts.column("text")), STEP):
+        for _, bodies in chunks((_body(x.as_py()) for x in texts.column("text")), STEP // 4):
             s, w = Stream(bodies, depth), Words(bodies, BLACK)
-            at, of = pair.get_indexer(s.key), word.get_indexer(signed(w.hashes()))
-            if (at < 0).any() or (of < 0).any():
-                raise ValueError("a block's own pair or word came back without an answer")
-            c = count[of]
+            log_p, c = pair.of(s.key), word.of(signed(w.hashes()))
             n = np.diff(w.first) + 1
             sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1
             base = np.bincount(w.text, weights=np.log10(c + 1), minlength=len(bodies)) + np.log10(n_train + 1) - n * log_total
             known_ = np.bincount(w.text, weights=c > 0, minlength=len(bodies)).astype(np.int64) + (n_train > 0)
-            for o, v in zip(out, (n, known_, base, np.bincount(s.text, weights=log_p[at], minlength=len(bodies)), sizes), strict=True):
+            for o, v in zip(out, (n, known_, base, np.bincount(s.text, weights=log_p, minlength=len(bodies)), sizes), strict=True):
                 o.append(v)
         n, known_, base, score, sizes = (np.concatenate(o) for o in out)
+        del pair, word
+        release()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n, "n_known": known_, "train_tokens": np.full(len(n), n_tokens, np.int64), "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / sizes})
 
     return run
