@@ -28,7 +28,7 @@ def road_edges(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> DataF
     """Directed edges with metres, seconds and mode; parallel edges stay, dangling ones go.
 
     The ways are joined before the window on the same key, so both use one exchange; each end
-    then finds its node by an equi-join.
+    then finds its node by an equi-join, without a shuffle of the segments up to ``NODE_BOUND`` nodes.
     """
     good = accepted_ways(ways).select("way_id", *_WAY)
     return _directed(way_segments(way_nodes).join(good, "way_id"), nodes)
@@ -42,6 +42,8 @@ def road_edges_of_lists(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return _directed(seg.where("b is not null and a <> b"), nodes)
 
 
+#: Nodes that may be broadcast for the ends of segments, under 100 bytes each: then no segment is shuffled to find them.
+NODE_BOUND = 2_000_000
 _WAY = ("highway", "is_oneway", "is_reversed", "mode", "speed_kmh")
 
 
@@ -49,7 +51,9 @@ def _directed(seg: DataFrame, nodes: DataFrame) -> DataFrame:
     """Segments (way_id, pos, a, b and what is known of the way) with the positions of both ends, in the directions that the way allows."""
     seg = seg.withColumns({"u": F.when(F.col("is_reversed"), F.col("b")).otherwise(F.col("a")), "v": F.when(F.col("is_reversed"), F.col("a")).otherwise(F.col("b"))})
     end = lambda c: nodes.select(F.col("osm_id").alias(c), F.col("lat").alias(f"lat_{c}"), F.col("lon").alias(f"lon_{c}"))
-    seg = seg.join(end("u"), "u").join(end("v"), "v")
+    few = nodes.limit(NODE_BOUND + 1).count() <= NODE_BOUND
+    held = lambda c: F.broadcast(end(c)) if few else end(c)
+    seg = seg.join(held("u"), "u").join(held("v"), "v")
     seg = seg.withColumn("metres", geo.haversine(F.col("lat_u"), F.col("lon_u"), F.col("lat_v"), F.col("lon_v")))
     seg = seg.withColumn("seconds", geo.travel_seconds(F.col("metres"), F.col("speed_kmh")))
     # one pass makes both directions
