@@ -225,9 +225,12 @@ def snap_grid(spark, sf_dir):
 def snap_stored(spark, sf_dir):
     """Nearest segment of every point, from tiles that were stored and read again."""
     folder = f"{tables.shared_folder(spark)}/wayloom-index-{uuid.uuid4().hex}"
-    tables.write(spatial.snap_index(_edges(spark, sf_dir)), folder, "tiles")
+    nodes = load(spark, sf_dir, "fx_nodes")
+    kind, index = ("tiles", spatial.snap_index(_edges(spark, sf_dir))) if (blocks := spatial.snap_blocks(_edges(spark, sf_dir), nodes)) is None else ("blocks", blocks)
+    tables.write(nodes, folder, "nodes")
+    tables.write(index, folder, kind)
     tables.drop_at_exit(spark, folder)
-    s = spatial.snap(load(spark, sf_dir, "fx_points"), None, index=tables.read(spark, folder, "tiles"))
+    s = spatial.snap(load(spark, sf_dir, "fx_points"), None, index=tables.read(spark, folder, kind), nodes=tables.read(spark, folder, "nodes"))
     return s.select("point_id", "edge_u", "edge_v", F.round("t", 3).alias("t"), F.round("proj_lat", 5).alias("proj_lat"), F.round("proj_lon", 5).alias("proj_lon"), F.round("dist_m", 3).alias("dist_m"))
 
 
